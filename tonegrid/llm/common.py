@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side of a few narrow columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -69,10 +71,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
     ``make()`` is called once in each task and returns a function of a list of texts (UTF-8 bytes, None for
     null), and of a list of values for each column in ``also``, that returns a column for each field.
     """
-    spark = df.sparkSession
-    out = df.select(*keep).schema.add("__x", "int").fields[:-1]
-    new = spark.createDataFrame([], fields).schema.fields
-    schema = type(df.schema)(out + new)
+    new = StructType.fromDDL(fields).fields
+    schema = StructType(df.select(*keep).schema.fields + new)
     names = [f.name for f in new]
     types = {f.name: f.dataType for f in new}
 
@@ -84,13 +84,11 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
         for batch in batches:
             raw = batch.column(len(keep))
             raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
-            sizes = [x or 0 for x in pa.compute.binary_length(raw).to_pylist()] if len(raw) else []
+            sizes = [x or 0 for x in pc.binary_length(raw).to_pylist()] if len(raw) else []
             for a, b in slices(sizes, SLICE_BYTES):
                 given = [batch.column(len(keep) + 1 + i).slice(a, b - a).to_pylist() for i in range(len(also))]
                 made = work(raw.slice(a, b - a).to_pylist(), *given)
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow[n]) for n, c in zip(names, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + cols, names=[f.name for f in schema.fields])
 
-    import pyarrow.compute  # noqa: F401
-
     return df.select(*keep, F.col(text).cast("string").alias("__text"), *[F.col(c).alias(f"__{c}") for c in also]).mapInArrow(run, schema)

@@ -8,12 +8,17 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .quality_rules import quality_rules
+from .source_mix import GOLDEN, mix_sources
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), epochs=3)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), percent=85, width=5)
 
@@ -24,6 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
     "op7_near_dedup": op7_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -59,4 +65,40 @@ ORACLE = {
         )
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN least c USING (doc_id)""",
+    "op3_mix_sources": rf"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || doc_id) AS h FROM documents
+        ), s0 AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
+        ), s1 AS (
+            SELECT *, [5.0::DOUBLE, 2.0, 1.0][sid % 3 + 1] AS weight FROM s0
+        ), s2 AS (
+            SELECT *, source_size / weight AS ratio,
+                   (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+            FROM s1 WINDOW w AS (ORDER BY source_size / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), s3 AS (
+            SELECT *, least(3.0 * source_size, (SELECT level FROM s2 WHERE level * weight <= 3 * source_size ORDER BY ratio, sid LIMIT 1) * weight) AS target,
+                   greatest(ceil(source_size / greatest(1.0, (SELECT sum(source_size) FROM s2) / 65536)), least(source_size, 16))::BIGINT AS n
+            FROM s2
+        ), s AS (
+            SELECT *, coalesce(sum(quota) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
+            FROM (SELECT *, CASE WHEN n > 0 THEN floor(target * n / source_size + 0.5) ELSE 0 END::BIGINT AS quota FROM s3)
+        ), t AS (
+            SELECT sum(quota)::BIGINT AS total FROM s
+        ), slots AS (
+            SELECT k, ((k + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE % 1) * total AS x FROM (SELECT total, unnest(range(CASE WHEN total > 0 THEN total + total // 50 + 1024 ELSE 0 END)) AS k FROM t)
+        ), reads AS (
+            SELECT sid, rank % n AS block, count(*) AS times
+            FROM (SELECT s.*, row_number() OVER (PARTITION BY sid ORDER BY k) - 1 AS rank FROM slots JOIN s ON x >= low AND x < low + quota)
+            WHERE rank < quota GROUP BY ALL
+        ), placed AS (
+            SELECT d.*, sid, n, source_size, target, nth, pos FROM (
+                SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, size) AS nth, (sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos FROM d
+            ) d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+        ), taken AS (
+            SELECT p.sid, nth, sum(times * greatest(0, least(pos + size, ((p.block + 1) * source_size + n - 1) // n) - greatest(pos, (p.block * source_size + n - 1) // n))) AS taken
+            FROM (SELECT *, unnest(range(pos * n // source_size, (pos + size - 1) * n // source_size + 1)) AS block FROM placed WHERE size > 0) p
+            JOIN reads r ON p.sid = r.sid AND p.block = r.block GROUP BY ALL
+        )
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (sid, nth)""",
 }

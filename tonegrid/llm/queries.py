@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
+from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
 from .source_mix import GOLDEN, mix_sources
 
+#: Where the public tokenizers' vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
@@ -23,6 +27,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), percent=85, width=5)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(documents(spark, sf_dir), Vocabulary.load(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -31,6 +39,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op7_near_dedup": op7_near_dedup,
+    "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import compression_quality, language_id
 from .common import documents
 from .exact_dedup import exact_dedup
+from .line_dedup import clean_lines
 from .near_dedup import near_dedup
 from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
 from .source_mix import GOLDEN, mix_sources
+from .token_counts import length_histogram, ranks, token_lengths
+from .url_filter import SOFT, STRICT, filter_urls
 
 #: Where the public tokenizers' vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
+#: Allow and block rules of the url query.
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +31,37 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), epochs=3)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = compression_quality.fold(F.col("doc_id"), 4) == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held).select("doc_id", F.col("quality").alias("label"))
+    scored = compression_quality.score_quality(docs, compression_quality.fit(docs, labels))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = compression_quality.fold(F.col("doc_id"), 5) == 0
+    found = language_id.predict(docs, language_id.fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), percent=85, width=5)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_lengths(documents(spark, sf_dir), ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_report(documents(spark, sf_dir), Vocabulary.load(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
@@ -37,8 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_mix_sources": op3_mix_sources,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_compression_quality": op5_compression_quality,
+    "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -110,4 +150,42 @@ ORACLE = {
             JOIN reads r ON p.sid = r.sid AND p.block = r.block GROUP BY ALL
         )
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (sid, nth)""",
+    "op2_url_filter": rf"""
+        WITH parts AS (
+            SELECT page_id, lower(coalesce(url, '')) AS low, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+        ), hits AS (
+            SELECT p.page_id, count(*) FILTER (WHERE strict) AS n_strict, count(*) FILTER (WHERE NOT strict) AS n_soft
+            FROM p JOIN (VALUES {", ".join(f"('{t}', {str(t in STRICT).lower()})" for t in STRICT + SOFT)}) v(term, strict)
+              ON regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY p.page_id
+        ), fits AS (
+            SELECT p.page_id, arg_max(rule, len(rule)) AS rule, arg_max(said, len(rule)) AS said
+            FROM p JOIN (VALUES {", ".join(f"('{said}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for said, rule in RULES)}) r(said, rule, h, q)
+              ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY p.page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft
+        FROM p LEFT JOIN hits USING (page_id) LEFT JOIN fits USING (page_id)""",
+    "op4_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL
+        ), worded AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+            FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ), w AS (
+            SELECT a.doc_id, a.k, [a.norm, b.norm, c.norm] AS win FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.k = a.k + 1 JOIN worded c ON c.doc_id = a.doc_id AND c.k = a.k + 2
+        ), marked AS (
+            SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) = 1 AS is_first, count(*) OVER (PARTITION BY win) AS n FROM w
+        ), gone AS (
+            SELECT doc_id, i FROM worded x
+            WHERE EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND x.k BETWEEN m.k AND m.k + 2 AND n > 1 AND NOT is_first)
+              AND NOT EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND x.k BETWEEN m.k AND m.k + 2 AND n > 1 AND is_first)
+        ), kept AS (
+            SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS clean FROM l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+        )
+        SELECT d.doc_id, coalesce((SELECT count(*) FROM worded x WHERE x.doc_id = d.doc_id), 0) AS n_lines, coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id), 0) AS n_removed,
+               sha256(coalesce(clean, '')) AS clean_sha256
+        FROM documents d LEFT JOIN kept USING (doc_id)""",
 }

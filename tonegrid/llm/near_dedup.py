@@ -8,9 +8,12 @@
 3. Banding: a bucket holds the classes that agree on all coordinates of a band. The bucket's smallest node leads;
    each other node is a candidate pair with the leader, so pairs are linear in the bucket's size.
 4. Candidates are verified on full sets, and links give components.
-5. What the leaders leave open: pairs of one bucket whose components differ. They are tried too, but for those that
-   exact bounds exclude: similarity is at most the ratio of the set sizes, and 1 - similarity is a metric, so two
-   nodes whose distances to the leader differ by more than the limit can't be linked. Components are then final.
+5. What the leaders leave open: pairs of one bucket whose components differ. Buckets try further leaders, still one
+   pair for each node, while the pairs left are many; then each pair left is tried, but for those that an exact
+   bound excludes. Of a node's shingles only those count that some other open node has too, and they are counted
+   in 64 hashed bins: two nodes have at most the sum of the bins' smaller counts in common. So a node whose bins
+   hold less than the limit times its set has no link at all, and a pair is
+   left only if that sum is enough for the limit. Components are then final.
 
 With 32 bands of 5 coordinates a pair at similarity 0.85 shares no bucket with probability 7e-9.
 
@@ -21,7 +24,7 @@ an empty result. Extra columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from .common import checked_broadcast, cut, map_text
 from .graph import components
 
 CACHED_WORDS = 400_000
+#: Buckets try up to so many further leaders while more than so many pairs a row are left; then all pairs left.
+LEADER_TURNS, PAIRS_A_NODE = 2, 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -155,7 +160,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, t: int = 160, bands: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: documents are linked when at least ``percent``
     hundredths of their shingles' union are common, and of each component the smallest doc_id is kept."""
-    linked = F.expr(f"100 * common >= {percent} * either")
     seen = cut(sketched(docs, width, t, bands), "sketches")
     classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     rows = cut(seen.where("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "n", "d1", "d2", "row", "node", "least", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys")), "rows")
@@ -167,14 +171,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, t: int = 160,
     nodes = cut(members.select("node").distinct().join(firsts, "node").select("node", "doc_id", "d1", "d2"), "nodes")
     sets = sets_of(docs, nodes, width)
     tried = verified(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), sets)
-    links = tried.where(linked).select("a", "b")
-    found = components(links)
-
-    open_pairs = cut(left_open(members, tried, found, percent), "open")
-    if not open_pairs.isEmpty():
-        more = verified(open_pairs, sets).where(linked).select("a", "b")
-        if not more.isEmpty():
-            found = components(links.union(more))
+    found = settled(members, sets, tried, percent)
 
     named = firsts.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -184,17 +181,70 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, t: int = 160,
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def left_open(members: DataFrame, tried: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a bucket but not a component, that no bound excludes and that have
-    not been tried."""
-    far = 1 - percent / 100
-    known = tried.select(F.col("a").alias("lead"), F.col("b").alias("node"), (1 - F.col("common") / F.col("either")).alias("away"))
-    # a leader is at distance 0 from itself; its pairs have all been tried
-    placed = members.where("node != lead").join(known, ["lead", "node"]).join(found, "node", "left")
-    placed = cut(placed.select("key", "node", "n", "away", F.coalesce("component", "node").alias("component")), "placed")
+def settled(members: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """node and component of all linked nodes, once no pair of one bucket is left that could join two components."""
+    linked = F.expr(f"100 * common >= {percent} * either")
+    links, done = tried.where(linked).select("a", "b"), tried.select("a", "b")
+    buckets, shared = members.select("key", "node", "n"), None
+    for turn in range(LEADER_TURNS + 1):
+        found = components(links)
+        placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = cut(still_open(placed), "open")
+        if shared is None:
+            shared = shared_items(sets, placed.select("node").distinct())
+            # this drops nodes without any link, so from now on fewer buckets are open
+            placed = placed.join(shared, "node").where(f"100 * shared >= {percent} * n")
+            placed = cut(still_open(placed), "open")
+        buckets = placed.drop("component")
+        kinds = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.expr("m * m")).alias("within"))
+        rows, pairs = kinds.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.expr("(all * all - within) div 2")), F.lit(0))).first()
+        if not pairs:
+            return found
+        last = turn == LEADER_TURNS or pairs <= PAIRS_A_NODE * rows
+        open_pairs = cut((all_pairs(placed, percent) if last else leader_pairs(placed, percent, turn)).join(done, ["a", "b"], "left_anti"), "pairs")
+        more = verified(open_pairs, sets)
+        links, done = links.union(more.where(linked).select("a", "b")), done.union(more.select("a", "b"))
+        if last:
+            return components(links)
+    raise AssertionError("the last turn returns")
+
+
+def still_open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold nodes of several components."""
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(split, "key", "left_semi")
-    a, b = rest.toDF("key", "a", "na", "fa", "ca"), rest.toDF("key", "b", "nb", "fb", "cb")
-    fits = F.expr(f"a < b and ca != cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na and abs(fa - fb) <= {far + 1e-9}")
-    pairs = a.join(b, "key").where(fits).select("a", "b").distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return placed.join(split, "key", "left_semi")
+
+
+def shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, how many of its items another one of the nodes has too, and their counts in hashed bins."""
+    own_sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    items = own_sets.select("node", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node")).where("m = 1")
+    alone = alone.groupBy("node").agg(F.collect_list("item").alias("alone"))  # at most the node's own set
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.bincount(np.array(x, np.int64) & 63, minlength=64) - np.bincount(np.array(y or [], np.int64) & 63, minlength=64) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            cols = [batch.column(0), pa.array([int(x.sum()) for x in bins], pa.int64()), pa.array([x.tolist() for x in bins], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "shared", "bins"])
+
+    return cut(own_sets.join(alone, "node", "left").select("node", "items", "alone").mapInArrow(run, "node long, shared long, bins array<int>"), "shared")
+
+
+#: Whether two open nodes can be linked: first by the smaller total, then bin by bin.
+FITS = "100 * least({a}.shared, {b}.shared) >= {percent} * ({a}.n + {b}.n - least({a}.shared, {b}.shared)) and aggregate(zip_with({a}.bins, {b}.bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x) * (100 + {percent}) >= {percent} * ({a}.n + {b}.n)"
+
+
+def leader_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each open bucket's next leader with the bucket's nodes of other components: first the node with the fewest
+    items of its own, then one by a hash of the turn."""
+    rank = F.struct((F.col("n") - F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("rank"), "node", "component", "n", "shared", "bins")
+    leaders = placed.groupBy("key").agg(F.min(rank).alias("lead"))
+    both = placed.alias("x").join(leaders, "key").where("x.component != lead.component").where(FITS.format(a="x", b="lead", percent=percent)).select("x.node", "lead")
+    return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def all_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    a, b = placed.alias("a"), placed.alias("b")
+    fits = f"a.key = b.key and a.node < b.node and a.component != b.component and {FITS.format(a='a', b='b', percent=percent)}"
+    return a.join(b, F.expr(fits)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut
+from .common import cut, drop_keys, keep_keys
 
 
 def misra_gries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
@@ -70,17 +70,3 @@ def distinct_documents(docs: DataFrame, normalise: Callable[[Column], Column] |
     if not again.isEmpty():
         out = out.unionByName(keep_keys(keyed, again, key).dropDuplicates(key))
     return out.drop(*key)
-
-
-def drop_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return _filtered(df, keys, on, "left_anti")
-
-
-def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return _filtered(df, keys, on, "left_semi")
-
-
-def _filtered(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    small = keys.toDF(*[f"__k{i}" for i in range(len(on))])
-    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(on)]
-    return df.join(checked_broadcast(small), same, how)

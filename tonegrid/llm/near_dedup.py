@@ -15,7 +15,7 @@
    hold less than the limit times its set has no link at all, and a pair is
    left only if that sum is enough for the limit. Components are then final.
 
-With 32 bands of 5 coordinates a pair at similarity 0.85 shares no bucket with probability 7e-9.
+Bands are as many as it takes for a pair at the limit to share no bucket with probability 1e-8 at most.
 
 Nulls: a null text is an empty set; a null doc_id has no say in a component's smallest doc_id unless all are null.
 Empty sets are linked with nothing. Repeated rows have equal sets, so they share a component. An empty table gives
@@ -25,6 +25,7 @@ an empty result. Extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, map_text
+from .common import checked_broadcast, cut, drop_keys, map_text
 from .graph import components
 
 CACHED_WORDS = 400_000
@@ -157,10 +158,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(sized.withColumn("either", F.expr("na + nb - common")).dropDuplicates(["a", "b"]), "verified")
 
 
-def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, t: int = 160, bands: int = 32) -> DataFrame:
+def banding(percent: int, missed: float = 1e-8) -> tuple[int, int]:
+    """Coordinates and bands with which a pair at ``percent`` shares no bucket with at most that probability."""
+    rows = 5 if percent >= 85 else 4
+    bands = ceil(log(missed) / log(1 - (percent / 100) ** rows))
+    return rows * bands, bands
+
+
+def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: documents are linked when at least ``percent``
     hundredths of their shingles' union are common, and of each component the smallest doc_id is kept."""
-    seen = cut(sketched(docs, width, t, bands), "sketches")
+    seen = cut(sketched(docs, width, *banding(percent)), "sketches")
     classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     rows = cut(seen.where("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "n", "d1", "d2", "row", "node", "least", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys")), "rows")
     firsts = rows.where("row = node")
@@ -181,6 +189,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, t: int = 160,
     return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def distinct_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """docs with all their columns, one document of each group of linked ones: that with the smallest doc_id. Rows
+    without words stay. Of rows with that doc_id and equal texts all stay; exact dedup is another operator's."""
+    found = near_dedup(docs.select("doc_id", "text"), percent=percent, width=width)
+    dropped = cut(found.where("not kept").select("doc_id").distinct(), "dropped")
+    return drop_keys(docs, dropped, ["doc_id"])
+
+
 def settled(members: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """node and component of all linked nodes, once no pair of one bucket is left that could join two components."""
     linked = F.expr(f"100 * common >= {percent} * either")

@@ -194,3 +194,11 @@ def quality_rules(
     """The columns ``keep`` (doc_id by default), the base counts, both distances and ``kept`` for each row."""
     refs = refs or references(docs)
     return map_text(docs, "text", keep or ["doc_id"], FIELDS, judge(refs, class_limit, word_limit, min_chars, min_words))
+
+
+def accepted(docs: DataFrame, **limits: float) -> DataFrame:
+    """docs with all their columns, without the rows that quality_rules rejects."""
+    judged = docs.select([F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)] + [F.col("text"), F.col("lang")])
+    own = [f"__{i}" for i in range(len(docs.columns))]
+    kept = quality_rules(judged, keep=own, refs=references(docs), **limits).where("kept")
+    return kept.select([F.col(x).alias(c) for x, c in zip(own, docs.columns)])

@@ -18,12 +18,13 @@ empty result. Extra columns are not looked at. Reruns agree: nothing depends on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, map_text
 
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -105,3 +106,31 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: i
     taken = found.groupBy("sid", "bucket", "nth").agg(F.sum(part).alias("taken"))
     out = placed.join(taken, ["sid", "bucket", "nth"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"__{c}").alias(c) for c in keep])
+
+
+def mixed_documents(docs: DataFrame, **mix: object) -> DataFrame:
+    """docs with all their columns, a row for each time the mix takes a document. Where it takes a part, once more
+    than the whole times, that row's text is cut after so many words (at most one document of a source for each
+    whole pass over it and its rest)."""
+    own = docs.columns
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    taken = mix_sources(docs.withColumn("__digest", digest), keep=["__digest"], **mix).where("taken > 0")
+    # rows with equal doc_id and text are taken together: their words are shared out evenly
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("__digest").alias("__d")).agg(F.first("size").alias("__size"), F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__n"))
+    named = docs.withColumn("__digest", digest)
+    found = named.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")))
+    each = F.expr("__taken div __n")
+    copies = found.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("__size"), (each / F.col("__size")).cast("int")), F.when(each % F.col("__size") > 0, F.array(each % F.col("__size"))).otherwise(F.array()))))
+    whole = copies.where("__words = __size").select(*own)
+    parts = copies.where("__words < __size").withColumns({f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(own)})
+    keep = [f"__c{i}" for i in range(len(own))]
+
+    def make() -> Callable:
+        def first_words(text: bytes, n: int) -> str:
+            left = text.split(None, n)
+            return (text if len(left) <= n else text[: len(text) - len(left[n])].rstrip()).decode()
+
+        return lambda texts, n: [pa.array(map(first_words, texts, n), pa.string())]
+
+    cut_texts = map_text(parts, "text", keep, "__cut string", make, also=["__words"])
+    return whole.unionByName(cut_texts.select([F.col("__cut" if c == "text" else f"__c{i}").alias(c) for i, c in enumerate(own)]))

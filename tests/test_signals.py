@@ -5,11 +5,14 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonegrid.functions import bits as X
 from tonegrid.operators import frames as W
 from tonegrid.operators import transforms as T
 from tonegrid.operators.rate import rate_control
+from tonegrid.operators.sections import LARGEST, cheapest_sections, direct_form, fixed_length_costs, predicted, reflection
+from tonegrid.sinks.containers import adts_streams, mp4_file, mp4_files
 from tonegrid.sources import pcm
 from tonegrid.sources.wav import Layout, file_frames, parse
 from tonegrid.streaming.live import live_frames
@@ -136,3 +139,62 @@ def test_live_frames_equal_batch_frames(spark, tmp_path):
     run.awaitTermination()
     got = {r.frame_no: r.pcm for r in spark.table("live").collect()}
     assert got == {r.frame_no: r.pcm for r in W.frames(samples(spark, x, stream=7), 64).collect()}
+
+
+def test_prediction(spark):
+    r = np.random.default_rng(6)
+    x = np.array([np.convolve(row, [1, 0.9, 0.5])[:64] for row in r.normal(size=(20, 66))])
+    lags = np.stack([(x[:, : 64 - i] * x[:, i:]).sum(1) for i in range(9)], 1)
+    k, gain = reflection(lags)
+    for row, own, g in zip(lags, k, gain):
+        toeplitz = row[np.abs(np.subtract.outer(np.arange(8), np.arange(8)))]
+        taps = np.linalg.solve(toeplitz, -row[1:])
+        assert np.allclose(direct_form(own[None])[0], taps) and np.isclose(g, row[0] / (row[0] + taps @ row[1:]))
+    assert np.isinf(reflection(np.zeros((1, 9)))[1][0])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "frame_no long, spec array<double>")
+    got = predicted(df, ["frame_no"], least_gain=0.0).orderBy("frame_no").toPandas()
+    assert np.allclose(got["gain"], gain) and got["kept_gain"].mean() > 0.7 * gain.mean()
+
+
+def test_cheapest_sections_are_no_dearer_than_any_choice(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, [[int(v) for v in r.integers(0, 2 ** r.integers(0, 5), 4)] for _ in range(4)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "i long, q array<array<int>>")
+    got = {x.i: x.bits for x in df.select("i", cheapest_sections(F.transform("q", lambda q: fixed_length_costs(q)), 9).alias("bits")).collect()}
+    width = [(2 * top).bit_length() for top in LARGEST]
+    for i, bands in rows:
+        fits = [[b for b, top in enumerate(LARGEST) if max(q) <= top] for q in bands]
+        assert got[i] == min(sum(4 * width[b] for b in books) + 9 * (1 + sum(a != b for a, b in zip(books, books[1:]))) for books in itertools.product(*fits))
+
+
+def boxes(raw):
+    at, found = 0, {}
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        assert 8 <= size <= len(raw) - at
+        found.setdefault(kind, raw[at + 8 : at + size])
+        at += size
+    return found
+
+
+def test_files_can_be_read_again(spark):
+    rows = [(s, i, bytes([s, i] * (i + 1)), 1024 if i < 3 else 500) for s in (1, 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "stream_id long, frame_no long, payload binary, duration int").repartition(3)
+    for stream, content in adts_streams(df, F.lit(0), F.lit(4), F.lit(2)).collect():
+        at, seen = 0, []
+        while at < len(content):
+            assert content[at] == 0xFF and content[at + 1] == 0xF1
+            size = (content[at + 3] & 3) << 11 | content[at + 4] << 3 | content[at + 5] >> 5
+            seen.append(bytes(content[at + 7 : at + size]))
+            at += size
+        assert seen == [p for s, _, p, _ in rows if s == stream]
+    for stream, content in mp4_files(df, 44100, 2, b"\x12\x10").collect():
+        own = [p for s, _, p, _ in rows if s == stream]
+        top = boxes(bytes(content))
+        assert list(top) == [b"ftyp", b"wide", b"mdat", b"moov"] and top[b"mdat"] == b"".join(own)
+        table = boxes(boxes(boxes(boxes(boxes(top[b"moov"])[b"trak"])[b"mdia"])[b"minf"])[b"stbl"])
+        assert struct.unpack(">IIIIII", table[b"stts"][:24]) == (0, 2, 3, 1024, 1, 500)
+        assert struct.unpack(f">III{len(own)}I", table[b"stsz"]) == (0, 0, len(own), *map(len, own))
+        offset = struct.unpack(">III", table[b"stco"])[2]
+        assert bytes(content[offset : offset + 2]) == own[0]
+    assert b"Song" in mp4_file([b"x"], [1024], 44100, 1, b"\x12\x08", tags={"nam": "Song", "mood": "fine"}, created=1)

@@ -11,6 +11,8 @@ from ..operators import bands as B
 from ..operators import frames as W
 from ..operators import transforms as T
 from ..operators.rate import rate_control
+from ..operators.sections import LARGEST, cheapest_sections, fixed_length_costs, predicted
+from ..sinks.containers import adts_streams, mp4_files
 from ..sources import pcm
 from ..sources.signals import line_samples, spectra, stream_params, table
 from .band_queries import CHAIN_SQL, SPEC_SQL, decided, quantized_bands
@@ -171,10 +173,41 @@ def channel_layout(spark: SparkSession, sf: str) -> DataFrame:
     return line_samples(spark, sf).select("stream_id", F.floor(at / n).cast("long").alias("block_no"), (at % n).cast("long").alias("channel"), place.alias("place"), "x")
 
 
+def cheapest_books(spark: SparkSession, sf: str) -> DataFrame:
+    """The least bits for the books of each spectrum's nine bands, coarsely quantized."""
+    q = lambda b: F.transform(F.slice("spec", b.lo + 1, b.hi - b.lo), lambda x: F.abs(B.quantized(x, F.lit(0.05))))
+    costs = F.transform(B.band_list(B.EDGES_64), lambda b: fixed_length_costs(q(b)))
+    return spectra(spark, sf).withColumn("costs", costs).select("frame_no", cheapest_sections(F.col("costs"), header=9).cast("long").alias("bits"))
+
+
+def prediction_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectra that a predictor along the lines helps, with their gains before and after quantizing it."""
+    return predicted(spectra(spark, sf), ["frame_no"], order=8, least_gain=1.0).select("frame_no", "gain", "kept_gain")
+
+
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as coded frames: the type's text as payload, tenths of the value as duration."""
+    w = W.Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, sf, "events").select(F.col("user_id").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_no"), F.encode("event_type", "UTF-8").alias("payload"), F.floor(F.col("value") / 100).cast("long").alias("duration"))
+
+
+def stream_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's frames as one headed stream: its size and digest."""
+    found = adts_streams(payloads(spark, sf), F.lit(0), F.lit(4), F.lit(2))
+    return found.select("stream_id", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+def indexed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's frames as one MP4 file: its size, and that of its media."""
+    found = mp4_files(payloads(spark, sf), rate=8000, channels=2, config=bytes.fromhex("1210"))
+    media = F.conv(F.hex(F.substring(F.col("content"), 37, 4)), 16, 10).cast("long")
+    return found.select("stream_id", F.length("content").cast("long").alias("bytes"), media.alias("media"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_headers, decoder_configs, container_fields, output_names, rate_texts, escape_codes, section_sizes, scalefactor_deltas, fill_bits, window_group_bits,
+        cheapest_books, prediction_gains, stream_files, indexed_files, stream_headers, decoder_configs, container_fields, output_names, rate_texts, escape_codes, section_sizes, scalefactor_deltas, fill_bits, window_group_bits,
         reservoir, average_rate, frame_limits, rate_diagnostics, transient_grid, envelope_levels, cosine_lines, subbands, pcm_decoding, channel_layout,
     )
 }
@@ -254,4 +287,16 @@ ORACLE = {
             sum(CASE WHEN i % 3 = 0 AND b2 IS NOT NULL THEN b + b1 * 256 + (b2 - CASE WHEN b2 > 127 THEN 256 ELSE 0 END) * 65536 END)::BIGINT AS s24, sum(CASE WHEN i % 4 = 0 AND b3 IS NOT NULL THEN b + b1 * 256 + b2 * 65536 + (b3 - CASE WHEN b3 > 127 THEN 256 ELSE 0 END)::BIGINT * 16777216 END)::BIGINT AS s32, count(*) AS n FROM n GROUP BY 1)
         SELECT doc_id, n AS n_bytes, u8::DOUBLE AS u8, coalesce(s16, 0)::DOUBLE AS s16, coalesce(s16_big, 0)::DOUBLE AS s16_big, coalesce(s24, 0) / 256 AS s24, coalesce(s32, 0) / 65536 AS s32 FROM s""",
     "channel_layout": f"WITH {LINES_SQL} SELECT stream_id, sample_no // 6 AS block_no, sample_no % 6 AS channel, list_position([2, 0, 1, 4, 5, 3], sample_no % 6) - 1 AS place, x FROM samples",
+    "cheapest_books": f"""WITH RECURSIVE {SPEC_SQL}, layout AS (SELECT i AS sfb, e[i + 1] AS lo, e[i + 2] AS hi FROM (SELECT {list(B.EDGES_64)} AS e), range(9) t(i)),
+        q AS (SELECT frame_no, sfb, max(floor(pow(abs(x) * 0.05::DOUBLE, 0.75) + 0.4054::DOUBLE)) AS most, count(*) AS n FROM spec JOIN layout ON i >= lo AND i < hi GROUP BY 1, 2),
+        c AS (SELECT frame_no, sfb, [{", ".join(f"CASE WHEN most <= {top} THEN n * {(2 * top).bit_length()} END" for top in LARGEST)}] AS c FROM q),
+        dp AS (SELECT frame_no, sfb, [x + 9 for x in c] AS d FROM c WHERE sfb = 0
+            UNION ALL SELECT c.frame_no, c.sfb, [c[i] + least(coalesce(d[i], list_min(d) + 9), list_min(d) + 9) for i in range(1, {len(LARGEST) + 1})] FROM dp JOIN c ON c.frame_no = dp.frame_no AND c.sfb = dp.sfb + 1)
+        SELECT frame_no, list_min(d)::BIGINT AS bits FROM dp WHERE sfb = 8""",
+    "stream_files": """WITH f AS (SELECT user_id AS stream_id, event_id, hex(encode(event_type)) AS h, length(event_type) + 7 AS n FROM events),
+        w AS (SELECT stream_id, event_id, printf('FFF15080%02X%02XFC', n // 8, n % 8 * 32 + 31) || h AS w FROM f)
+        SELECT stream_id, length(string_agg(w, '')) // 2 AS bytes, md5(unhex(string_agg(w, '' ORDER BY event_id))) AS digest FROM w GROUP BY 1""",
+    "indexed_files": """WITH f AS (SELECT user_id AS stream_id, event_id, length(event_type) AS n, floor(value / 100) AS d FROM events),
+        r AS (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY stream_id ORDER BY event_id) OR row_number() OVER (PARTITION BY stream_id ORDER BY event_id) = 1 AS new FROM f)
+        SELECT stream_id, 685 + sum(n)::BIGINT + 4 * count(*) + 8 * count(*) FILTER (WHERE new) AS bytes, sum(n)::BIGINT + 8 AS media FROM r GROUP BY 1""",
 }

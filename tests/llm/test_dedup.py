@@ -135,7 +135,7 @@ def test_clean_lines(spark):
     got = {r.doc_id: (r.clean_text, r.n_lines, r.n_removed) for r in clean_lines(frame(spark, rows)).collect()}
     assert got == {
         3: (rows[0][1], 5, 0), 5: ("\nfourth", 4, 3), 9: ("last", 5, 4), 1: (None, 0, 0), 2: ("", 0, 0), None: ("x", 1, 0),
-        4: ("q\nq\nq\n", 10, 7), 6: ("two\nlines", 2, 0),
+        4: ("q\n", 10, 9), 6: ("two\nlines", 2, 0),
     }
     assert clean_lines(frame(spark, [])).count() == 0
     assert clean_lines(frame(spark, [(1, block), (1, block)])).where("n_removed > 0").count() == 0

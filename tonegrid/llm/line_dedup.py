@@ -1,8 +1,9 @@
 """Line dedup by overlapping windows of three lines.
 
 Lines with a word are hashed, A-Z as small letters and without white space at their ends; each three in a row make a
-window. A window that is found more than once keeps its first occurrence, by doc_id and then by place. Lines covered
-by later occurrences go, unless a first occurrence of a repeated window covers them too. Lines without a word stay.
+window. A window that is found more than once keeps its first occurrence, by doc_id and then by place. All lines that
+later occurrences cover go; of each line's text the very first occurrence is never among them. Lines without a word
+stay.
 
 A row is named by doc_id and a digest of its text: repeated rows with equal doc_id and text are one row here, lose
 the same lines, and aren't later occurrences of each other. Nulls: a null text has no lines and stays null; a null
@@ -52,13 +53,11 @@ def digest() -> Column:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and the places of its windows that are later and first occurrences of repeated ones, for each
-    row that has later ones."""
+    """doc_id, digest and the places of its windows that are later occurrences, for each row that has such."""
     found = cut(windows(docs).distinct(), "windows")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    seen = found.join(first, ["h1", "h2"]).select("doc_id", "digest", "place", F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")).alias("is_first"))
-    places = lambda of: F.collect_list(F.when(of, F.col("place")))
-    return cut(seen.groupBy("doc_id", "digest").agg(places(~F.col("is_first")).alias("later"), places(F.col("is_first")).alias("firsts")).where("size(later) > 0"), "repeated")
+    later = found.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")))
+    return cut(later.groupBy("doc_id", "digest").agg(F.collect_list("place").alias("later")), "repeated")
 
 
 def covered(places: list[int], n: int) -> np.ndarray:
@@ -73,25 +72,24 @@ def clean_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default), clean_text, n_lines (with a word) and n_removed for each row."""
     keep = keep or ["doc_id"]
     marks = repeated(docs)
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "later", "firsts")
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "later")
     named = docs.select(*keep, F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"), digest())
     joined = named.join(marks, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left")
 
     def make() -> Callable:
-        def one(text: bytes | None, later: list | None, firsts: list | None) -> tuple:
+        def one(text: bytes | None, later: list | None) -> tuple:
             if text is None:
                 return None, 0, 0
             lines, at = lines_with_words(text)
             if not later:
                 return text, len(at), 0
-            gone = covered(later, len(at)) & ~covered(firsts or [], len(at))
-            drop = set(np.array(at)[gone].tolist())
+            drop = set(np.array(at)[covered(later, len(at))].tolist())
             return b"\n".join(x for i, x in enumerate(lines) if i not in drop), len(at), len(drop)
 
-        def work(texts: list, later: list, firsts: list) -> list:
-            clean, n, gone = zip(*map(one, texts, later, firsts))
+        def work(texts: list, later: list) -> list:
+            clean, n, gone = zip(*map(one, texts, later))
             return [pa.array(clean, pa.binary()).cast(pa.string()), n, gone]
 
         return work
 
-    return map_text(joined, "text", keep, "clean_text string, n_lines long, n_removed long", make, also=["later", "firsts"])
+    return map_text(joined, "text", keep, "clean_text string, n_lines long, n_removed long", make, also=["later"])

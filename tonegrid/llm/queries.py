@@ -177,11 +177,10 @@ ORACLE = {
         ), w AS (
             SELECT a.doc_id, a.k, [a.norm, b.norm, c.norm] AS win FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.k = a.k + 1 JOIN worded c ON c.doc_id = a.doc_id AND c.k = a.k + 2
         ), marked AS (
-            SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) = 1 AS is_first, count(*) OVER (PARTITION BY win) AS n FROM w
+            SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) = 1 AS is_first FROM w
         ), gone AS (
             SELECT doc_id, i FROM worded x
-            WHERE EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND x.k BETWEEN m.k AND m.k + 2 AND n > 1 AND NOT is_first)
-              AND NOT EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND x.k BETWEEN m.k AND m.k + 2 AND n > 1 AND is_first)
+            WHERE EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND x.k BETWEEN m.k AND m.k + 2 AND NOT is_first)
         ), kept AS (
             SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS clean FROM l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
         )

@@ -180,4 +180,4 @@ def test_oracles_on_the_smallest_tables(spark):
         want = db.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
         rounded = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
         assert rounded(map(tuple, got.select(*columns).collect())) == rounded(want), name
-    assert distinct_documents(spark.read.parquet(f"{SF}/documents.parquet")).count() == db.sql("SELECT count(DISTINCT text) FROM documents").fetchone()[0]
+    assert distinct_documents(spark.read.parquet(f"{SF}/documents.parquet")).count() == db.sql("SELECT count(DISTINCT text) FROM documents").fetchall()[0][0]

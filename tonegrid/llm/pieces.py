@@ -33,7 +33,7 @@ from .common import map_text
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs of pieces that a Python worker remembers, and the length up to which a word is remembered.
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 300_000, 500_000, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 800_000, 800_000, 64
 UNIGRAM, BPE = 1, 2
 
 
@@ -81,46 +81,65 @@ class Vocabulary:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.longest = max(map(len, vocabulary.ids), default=1)
+        # pieces by their characters from the last to the first: what may end a prefix is found in one walk back
+        self.back: dict = {}
+        for piece in vocabulary.ids:
+            node = self.back
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.penalty = min(vocabulary.scores.values(), default=0.0) - 10
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What BPE makes of a short text: the best-scored neighbours merge first, the leftmost of equals."""
-        parts, scores = list(text), self.v.scores
-        while True:
-            found = [(-scores[m], i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in scores]
-            if not found:
-                return parts
-            i = min(found)[1]
+        parts, score, none = list(text), self.v.scores.get, float("-inf")
+        merges = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while merges and (best := max(merges)) > none:
+            i = merges.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del merges[i]
+            if i:
+                merges[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(merges):
+                merges[i] = score(parts[i] + parts[i + 1], none)
+        return parts
 
     def stands(self, before: str | None, piece: str) -> bool:
         """Whether merging leaves ``piece``, and the piece before it, as they are. Neighbours that make a piece
         together would merge at the latest when nothing else does."""
-        if before and before + piece in self.v.scores:
-            return False
-        key = (before, piece)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged((before or "") + piece) == ([before, piece] if before else [piece])
-        return known
+        if before is None:
+            return self.merged(piece) == [piece]
+        return before + piece not in self.v.scores and self.merged(before + piece) == [before, piece]
+
+    def endings(self, word: str, j: int) -> list[str]:
+        """The pieces that word[:j] ends with, short ones first."""
+        node, found = self.back, []
+        for i in range(j - 1, -1, -1):
+            if (node := node.get(word[i])) is None:
+                break
+            if "" in node:
+                found.append(node[""])
+        return found
 
     def last_piece(self, word: str, j: int, states: list[tuple]) -> tuple:
         """The forward state of word[:j]: the last piece and, for a unigram model, the score."""
-        ids, scores = self.v.ids, self.v.scores
         if self.v.kind == BPE:
-            for i in range(max(0, j - self.longest), j):
-                piece = word[i:j]
-                if piece in ids and self.stands(states[i][0], piece):
+            pairs = self.pairs
+            for piece in reversed(self.endings(word, j)):
+                key = (states[j - len(piece)][0], piece)
+                if (stands := pairs.get(key)) is None:
+                    if len(pairs) >= CACHED_PAIRS:
+                        pairs.clear()
+                    stands = pairs[key] = self.stands(*key)
+                if stands:
                     return piece, 0.0
             return word[j - 1], 0.0
         best = (word[j - 1], states[j - 1][1] + self.penalty)
-        for i in range(max(0, j - self.longest), j):
-            if (score := scores.get(word[i:j])) is not None and states[i][1] + score > best[1]:
-                best = (word[i:j], states[i][1] + score)
+        for piece in self.endings(word, j):
+            if (score := states[j - len(piece)][1] + self.v.scores[piece]) > best[1]:
+                best = (piece, score)
         return best
 
     def sorted_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:

@@ -1,7 +1,7 @@
 """Quality rules: base counts, and how far a document's histograms are from those of the corpus's languages.
 
-References: for each language, the histogram of character classes and that of its most common words, counted over
-all documents that name the language. A document's Jensen-Shannon distance (0 to 1, base 2) is that to the nearest
+References: for each language, the mean histogram of character classes and that of its most common words, over all
+documents that name the language. A document's Jensen-Shannon distance (0 to 1, base 2) is that to the nearest
 reference, whatever language it names itself. It is rejected when a distance is over its limit, unless it is too
 short for that histogram to say anything.
 
@@ -73,19 +73,23 @@ def pruned(counts: Counter, counters: int) -> Counter:
 
 
 def counted(batches: Iterator[pa.RecordBatch], likely: dict[str, set]) -> Iterator[pa.RecordBatch]:
-    """Of one task, for each language: exact counts of its likely words, of all words (key ``w``) and of
-    character classes (``c0`` ...)."""
+    """Of one task, for each language: its documents' shares of the likely words, of all words (key ``w``) and of the
+    character classes (``c0`` ...), in millionths, summed. A long document counts as much as a short one, and whole
+    numbers add up alike in any order."""
     table, totals = class_table(), {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             text, own = text or b"", totals.setdefault(lang, Counter())
-            words, mine = Counter(text.split()), likely.get(lang, ())
-            own[b"w"] += words.total()
-            for w, n in words.items():
-                if w in mine:
-                    own[b"=" + w] += n
-            for k, n in enumerate(np.bincount(table[np.frombuffer(text, np.uint8)], minlength=N_CLASSES)[:N_CLASSES]):
-                own[b"c%d" % k] += int(n)
+            words, mine = Counter(text.split()), likely.get(lang, set())
+            if not words:
+                continue
+            n = words.total()
+            own[b"w"] += 1_000_000
+            for w in words.keys() & mine:
+                own[b"=" + w] += words[w] * 1_000_000 // n
+            kinds = np.bincount(table[np.frombuffer(text, np.uint8)], minlength=N_CLASSES)[:N_CLASSES]
+            for k, share in enumerate((kinds * 1_000_000 // kinds.sum()).tolist()):
+                own[b"c%d" % k] += share
     rows = [(lang, k, n) for lang, own in totals.items() for k, n in own.items()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64()))], names=["lang", "key", "n"])
@@ -94,7 +98,7 @@ def counted(batches: Iterator[pa.RecordBatch], likely: dict[str, set]) -> Iterat
 def references(docs: DataFrame, top: int = 32, counters: int = 4096, languages: int = 1000) -> References:
     """References of at most ``languages`` languages (those with most words), of ``top`` words each, so that what
     the driver gets has a fixed bound. Candidates for the common words come from mergeable summaries that hold
-    every word with over 2 / counters of a language's words; their counts are exact and cover all documents."""
+    every word with over 2 / counters of a language's words; their shares are exact and cover all documents."""
     texts = docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     found = texts.mapInArrow(lambda it: summaries(it, counters), "lang string, word binary, least long").groupBy("lang", "word").agg(F.sum("least").alias("least"))
     heavy = found.groupBy("lang").agg(F.sum("least").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")

@@ -74,7 +74,8 @@ def clean_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     marks = repeated(docs)
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "later")
     named = docs.select(*keep, F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"), digest())
-    joined = named.join(marks, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left")
+    # texts are joined by a sorted shuffle at every size: the marks grow with the documents
+    joined = named.hint("merge").join(marks, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left")
 
     def make() -> Callable:
         def one(text: bytes | None, later: list | None) -> tuple:

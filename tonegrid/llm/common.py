@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 200_000
 #: Texts are worked on in slices of about so many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: What separates words everywhere here: space and the ASCII controls 9 to 13, as ``bytes.split()`` does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,14 +80,28 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, build: Callable) -> object:
+    """What ``build()`` made in this Python worker for the key. A worker serves many tasks, of several operators one
+    after another; it holds one such thing at a time, so that what one operator remembers doesn't add up with others."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Callable[[], Callable], also: list[str] = ()) -> DataFrame:
     """The columns ``keep``, and those of ``fields`` (DDL) computed from whole texts.
 
     ``make()`` is called once in each task and returns a function of a list of texts (UTF-8 bytes, None for
-    null), and of a list of values for each column in ``also``, that returns a column for each field.
+    null), and of a list of values for each column in ``also``, that returns a column for each field. A text that is
+    itself kept goes to Python once.
     """
     new = StructType.fromDDL(fields).fields
     schema = StructType(df.select(*keep).schema.fields + new)
+    first = len(keep) + (text not in keep)  # of the columns of also
     names = [f.name for f in new]
     types = {f.name: f.dataType for f in new}
 
@@ -96,13 +111,17 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
         arrow = {n: to_arrow_type(t) for n, t in types.items()}
         work = make()
         for batch in batches:
-            raw = batch.column(len(keep))
+            raw = batch.column(keep.index(text) if text in keep else len(keep))
             raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
             sizes = [x or 0 for x in pc.binary_length(raw).to_pylist()] if len(raw) else []
             for a, b in slices(sizes, SLICE_BYTES):
-                given = [batch.column(len(keep) + 1 + i).slice(a, b - a).to_pylist() for i in range(len(also))]
+                given = [batch.column(first + i).slice(a, b - a).to_pylist() for i in range(len(also))]
                 made = work(raw.slice(a, b - a).to_pylist(), *given)
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow[n]) for n, c in zip(names, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + cols, names=[f.name for f in schema.fields])
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text"), *[F.col(c).alias(f"__{c}") for c in also]).mapInArrow(run, schema)
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":  # Spark's default; documents are long rows
+        conf.set(BATCH_ROWS, "1000")
+    own = [] if text in keep else [F.col(text).cast("string").alias("__text")]
+    return df.select(*keep, *own, *[F.col(c).alias(f"__{c}") for c in also]).mapInArrow(run, schema)

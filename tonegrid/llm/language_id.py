@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import held, map_text
 
 #: Characters of reference text for all languages together, and for one at most; characters taken from a row.
 TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 240_000, 40_000, 200
@@ -146,18 +146,11 @@ class Parser:
         return out
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def predict(docs: DataFrame, refs: References) -> DataFrame:
     """doc_id, lang_pred and score for each row."""
 
     def make() -> Callable:
-        key = hash(tuple(sorted(refs.texts.items())))
-        if key not in _PARSERS:  # a Python worker keeps the automata of one fit
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(refs)
-        parser = _PARSERS[key]
+        parser = held(("languages", *sorted(refs.texts.items())), lambda: Parser(refs))
 
         def work(texts: list) -> list:
             symbols = [parser.symbols(t) for t in texts]

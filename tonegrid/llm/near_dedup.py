@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, drop_keys, map_text
+from .common import checked_broadcast, cut, drop_keys, held, map_text
 from .graph import components
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Buckets try up to so many further leaders while more than so many pairs a row are left; then all pairs left.
 LEADER_TURNS, PAIRS_A_NODE = 2, 2
 
@@ -117,7 +117,7 @@ def halves(items: np.ndarray) -> tuple[int, int]:
 
 def sketched(docs: DataFrame, width: int, t: int, bands: int) -> DataFrame:
     def make() -> Callable:
-        shingle, sketcher = Shingler(width), Sketcher(t, bands)
+        shingle, sketcher = held(("shingles", width), lambda: Shingler(width)), Sketcher(t, bands)
 
         def work(texts: list) -> list:
             sets = [shingle(x) for x in texts]
@@ -133,7 +133,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node and its full set, for nodes (node, doc_id, d1, d2). Only texts of their doc_ids are read again."""
 
     def make() -> Callable:
-        shingle = Shingler(width)
+        shingle = held(("shingles", width), lambda: Shingler(width))
 
         def work(texts: list) -> list:
             sets = [shingle(x) for x in texts]

@@ -28,12 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_text
+from .common import held, map_text
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs of pieces that a Python worker remembers, and the length up to which a word is remembered.
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 800_000, 800_000, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 400_000, 64
 UNIGRAM, BPE = 1, 2
 
 
@@ -193,14 +193,9 @@ class Encoder:
         return raw[1:] if raw[:1] == b" " else raw
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """One encoder for each vocabulary in a Python worker, with what it remembers."""
-    if vocabulary.name not in _ENCODERS:
-        _ENCODERS[vocabulary.name] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary.name]
+    return held(("pieces", vocabulary.name), lambda: Encoder(vocabulary))
 
 
 def id_lists(ids: list[np.ndarray]) -> pa.Array:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import cut, held, map_text
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: white space, small letter, capital, digit, sentence mark, symbol, beyond ASCII, other.
@@ -158,7 +158,7 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def judge(refs: References, class_limit: float, word_limit: float, min_chars: int, min_words: int) -> Callable:
     def make() -> Callable:
-        table = class_table()
+        table = held("classes", class_table)  # what other operators held goes
         place = {w: i for i, w in enumerate(dict.fromkeys(w for own in refs.words for w in own))}
         columns = [np.array([place[w] for w in own], int) for own in refs.words]
 
@@ -193,16 +193,16 @@ def judge(refs: References, class_limit: float, word_limit: float, min_chars: in
 
 
 def quality_rules(
-    docs: DataFrame, keep: list[str] | None = None, refs: References | None = None, class_limit: float = 0.3, word_limit: float = 0.42, min_chars: int = 200, min_words: int = 50
+    docs: DataFrame, keep: list[str] | None = None, refs: References | None = None, text: str = "text", class_limit: float = 0.3, word_limit: float = 0.42, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
     """The columns ``keep`` (doc_id by default), the base counts, both distances and ``kept`` for each row."""
     refs = refs or references(docs)
-    return map_text(docs, "text", keep or ["doc_id"], FIELDS, judge(refs, class_limit, word_limit, min_chars, min_words))
+    return map_text(docs, text, keep or ["doc_id"], FIELDS, judge(refs, class_limit, word_limit, min_chars, min_words))
 
 
 def accepted(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with all their columns, without the rows that quality_rules rejects."""
-    judged = docs.select([F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)] + [F.col("text"), F.col("lang")])
     own = [f"__{i}" for i in range(len(docs.columns))]
-    kept = quality_rules(judged, keep=own, refs=references(docs), **limits).where("kept")
+    judged = docs.select([F.col(f"`{c}`").cast("string" if c == "text" else docs.schema[c].dataType).alias(x) for c, x in zip(docs.columns, own)])
+    kept = quality_rules(judged, keep=own, refs=references(docs), text=own[docs.columns.index("text")], **limits).where("kept")
     return kept.select([F.col(x).alias(c) for x, c in zip(own, docs.columns)])

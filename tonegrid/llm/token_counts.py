@@ -17,10 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_text
-
-_ENCODINGS: dict[tuple, tiktoken.Encoding] = {}
-
+from .common import held, map_text
 
 def ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file of base64 tokens and ranks; read on the driver."""
@@ -30,12 +27,10 @@ def ranks(path: str) -> dict[bytes, int]:
 
 def token_lengths(docs: DataFrame, merges: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default) and n_tokens for each row."""
-    name = (len(merges), pattern)
+    name = ("tokens", len(merges), pattern)
 
     def make() -> Callable:
-        if name not in _ENCODINGS:  # one encoding in a Python worker
-            _ENCODINGS[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-        encode = _ENCODINGS[name].encode_ordinary
+        encode = held(name, lambda: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})).encode_ordinary
         return lambda texts: [[len(encode(t.decode())) if t else 0 for t in texts]]
 
     return map_text(docs, "text", keep or ["doc_id"], "n_tokens long", make)

@@ -101,6 +101,23 @@ def test_distinct_groups(spark):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4, 4, 6, 8]
 
 
+def test_distinct_groups_tells_rows_apart_by_doc_id_and_text(spark):
+    other, third = "quite another text of seven words", "and a third text that stands alone"
+    rows = [
+        (None, "a b c d e f"), (4, "a b c d e f"),  # linked: 4 stays, and that drops no other null doc_id
+        (None, other), (None, None), (None, ""), (9, None),
+        (30, "g h i j k l"), (31, "g h i j k l"), (31, third),  # 31 is a copy of 30, and also a text of its own
+        (40, "m n o p q r"), (40, "M n o p q r"), (41, "m N o p q r"),  # one doc_id on two texts of a group
+        (None, "s t u v w x"), (None, "s t u v w x"), (None, "S t u v w x"),  # a group without a doc_id
+        (4, "a b c d e f"),
+    ]
+    for parts in (1, 5):
+        got = Counter((r.doc_id, r.text) for r in distinct_groups(frame(spark, rows, parts)).collect())
+        by_sha = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).digest())
+        assert got == Counter([(4, "a b c d e f")] * 2 + [(None, other), (None, None), (None, ""), (9, None), (30, "g h i j k l"), (31, third), (40, by_sha("m n o p q r", "M n o p q r")), (None, by_sha("s t u v w x", "S t u v w x"))])
+    assert distinct_groups(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(3)
     t, bands = banding(85)

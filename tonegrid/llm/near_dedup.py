@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, drop_keys, held, map_text
+from .common import checked_broadcast, cut, drop_keys, held, keep_keys, map_text
 from .graph import components
 
 CACHED_WORDS = 200_000
@@ -115,7 +115,7 @@ def halves(items: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def sketched(docs: DataFrame, width: int, t: int, bands: int) -> DataFrame:
+def sketched(docs: DataFrame, width: int, t: int, bands: int, keep: list[str]) -> DataFrame:
     def make() -> Callable:
         shingle, sketcher = held(("shingles", width), lambda: Shingler(width)), Sketcher(t, bands)
 
@@ -126,7 +126,7 @@ def sketched(docs: DataFrame, width: int, t: int, bands: int) -> DataFrame:
 
         return work
 
-    return map_text(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "text", ["doc_id", "row"], "n long, d1 long, d2 long, keys array<long>", make)
+    return map_text(docs.select(*keep, "text").withColumn("row", F.monotonically_increasing_id()), "text", [*keep, "row"], "n long, d1 long, d2 long, keys array<long>", make)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -168,9 +168,18 @@ def banding(percent: int, missed: float = 1e-8) -> tuple[int, int]:
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: documents are linked when at least ``percent``
     hundredths of their shingles' union are common, and of each component the smallest doc_id is kept."""
-    seen = cut(sketched(docs, width, *banding(percent)), "sketches")
+    seen, out = grouped(docs, percent, width, ["doc_id"])
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = seen.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def grouped(docs: DataFrame, percent: int, width: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All rows' sketches, and of the rows with words the columns ``keep`` (doc_id is one), n, component (a row of
+    it) and component_id (its smallest doc_id)."""
+    seen = cut(sketched(docs, width, *banding(percent), keep), "sketches")
     classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    rows = cut(seen.where("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "n", "d1", "d2", "row", "node", "least", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys")), "rows")
+    rows = cut(seen.where("n > 0").join(classes, ["d1", "d2"]).select(*keep, "n", "d1", "d2", "row", "node", "least", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys")), "rows")
     firsts = rows.where("row = node")
 
     keys = firsts.select("node", "n", F.explode("keys").alias("key"))
@@ -183,18 +192,28 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
 
     named = firsts.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    empty = seen.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.select("node", "component").join(smallest, "component").select("node", "component", "component_id")
+    return seen, rows.select(*keep, "n", "node").join(named, "node").select(*keep, "n", "component", "component_id")
 
 
 def distinct_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs with all their columns, one document of each group of linked ones: that with the smallest doc_id. Rows
-    without words stay. Of rows with that doc_id and equal texts all stay; exact dedup is another operator's."""
-    found = near_dedup(docs.select("doc_id", "text"), percent=percent, width=width)
-    dropped = cut(found.where("not kept").select("doc_id").distinct(), "dropped")
-    return drop_keys(docs, dropped, ["doc_id"])
+    """docs with all their columns, one document of each group of linked ones: that with the smallest doc_id, and if
+    this doc_id stands on several texts of the group, that with the smallest digest. A null doc_id is larger than any
+    other. Rows without words stay. Of rows with the chosen doc_id and equal texts all stay (exact dedup is another
+    operator's), but without a doc_id they are not known to be one document, and one row stays. Rows are told apart
+    by doc_id and text, so what happens to one says nothing of others with its doc_id."""
+    key = ["__id", "__sha"]
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))})
+    rows = cut(grouped(keyed, percent, width, ["doc_id", "__sha"])[1].select(F.col("doc_id").alias("__id"), "__sha", "component", "component_id"), "groups")
+    first = rows.where("__id <=> component_id")
+    several = first.groupBy("component").agg(F.min("__sha").alias("lead"), F.max("__sha").alias("last")).where("lead < last").select("component", "lead")
+    beaten = first.join(checked_broadcast(several), "component").where("__sha != lead")
+    dropped = cut(rows.where("not (__id <=> component_id)").select(*key).union(beaten.select(*key)).distinct(), "dropped")
+    again = cut(drop_keys(first.where("__id is null").groupBy(*key).count().where("count > 1").select(*key), dropped, key), "again")
+    out = drop_keys(keyed, dropped, key)
+    if not again.isEmpty():
+        out = drop_keys(out, again, key).unionByName(keep_keys(keyed, again, key).dropDuplicates(key))
+    return out.drop(*key)
 
 
 def settled(members: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:

@@ -81,6 +81,29 @@ def test_phrases_are_longest_matches():
             assert n == want
 
 
+def test_every_letter_of_the_references_is_distinct():
+    """Four languages with 1,500 letters each, of which no two share a word; blocks against the longest matches."""
+    r = np.random.default_rng(5)
+    pool = np.array([chr(c) for c in range(0x4E00, 0x4E00 + 3000)])
+    vocabulary = {name: ["".join(r.choice(r.choice(pool, 1500, replace=False), 2)) for _ in range(150)] for name in "abcd"}
+    say = lambda name, n: " ".join(r.choice(vocabulary[name], n))
+    refs = language_id.References({**{name: say(name, 600) for name in "abcd"}, "latin": "the cat sat on the mat"})
+    parser = language_id.Parser(refs)
+    held = [(name, say(name, 40)) for name in "abcd" for _ in range(5)]
+    texts = [t for _, t in held] + ["\u9fa5\u9fa4 the " + say("a", 3), "\u9fa5", "the cat"]
+    got = parser.phrases([parser.symbols(t.encode()) for t in texts])
+    for t, row in zip(texts, got):
+        for name, n in zip(parser.names, row):
+            rest, want = t, 0
+            while rest:
+                k = max([1, *(k for k in range(1, min(len(rest), 60) + 1) if rest[:k] in refs.texts[name])])
+                rest, want = rest[k:], want + 1
+            assert n == want
+    bits = got * parser.bits
+    assert [parser.names[i] for i in bits[: len(held)].argmin(1)] == [name for name, _ in held]
+    assert len({int(parser.place[ord(c)]) for c in set("".join(refs.texts.values())) - {" "}}) > 118
+
+
 def base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, again = (text or "").split("\n"), 0

@@ -6,7 +6,13 @@ bits that name a place in the reference, divided by the letters and spaces parse
 with the smallest wins (ties: the first by code point). Score: 2 to the minus bits, as a share over the languages.
 
 Texts are lower-cased, and runs of anything but letters become one space. Whole texts are parsed, in blocks of fixed
-length side by side; a block's end also ends a phrase.
+length side by side; a block's end also ends a phrase. Every letter of a reference is a symbol of its own,
+whatever the alphabets.
+
+What bounds the references: TOTAL_CHARS are shared out evenly, so of n languages each has at most
+min(LANGUAGE_CHARS, TOTAL_CHARS / n) characters (40,000 for up to 6, 7,500 for 32, 240 for 1,000), in pieces of
+ROW_CHARS from different rows. With many languages, or with letters by the thousand, a reference shows only part of
+what its language uses.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, and so is all if nothing was learned. Rows with
 a null lang teach nothing. Rows are judged one by one, so repeated rows get equal results. An empty table gives an
@@ -25,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import held, map_text
 
-#: Characters of reference text for all languages together, and for one at most; characters taken from a row.
+#: Characters of reference text for all languages together, and for one at most; characters taken from a row. Columns of
+#: the table of frequent letters' transitions; those of other letters are searched for.
 TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 240_000, 40_000, 200
 BLOCK, SYMBOLS = 1024, 120
 NEW = 1 << 30
@@ -87,26 +94,34 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 class Parser:
     """All languages' automata in one table: a state's row holds, for each symbol, the next state's row and whether a
-    phrase begins. Symbol 0 is the space, the last one stands for letters that no reference has, and one more, past
-    it, fills blocks up."""
+    phrase begins. Symbol 0 is the space, then come the references' most frequent letters, one symbol for letters that
+    no reference has, and one that fills blocks up. Symbols past these are the references' other letters: rare ones,
+    or those of large alphabets. Few states have transitions by them, so these are kept as sorted keys instead."""
 
     def __init__(self, refs: References) -> None:
         self.names = sorted(refs.texts)
         cleaned = {k: "".join(c if c.isalpha() else " " for c in t.lower()).split() for k, t in refs.texts.items()}
         cleaned = {k: " ".join(v) for k, v in cleaned.items()}
-        letters = [c for c, _ in Counter("".join(cleaned.values())).most_common() if c != " "][: SYMBOLS - 2]
-        self.size = len(letters) + 3
-        self.place = np.zeros(0x110000, np.uint8)
+        letters = [c for c, _ in Counter("".join(cleaned.values())).most_common() if c != " "]
+        letters, others = letters[: SYMBOLS - 2], letters[SYMBOLS - 2 :]
+        self.size, self.others = len(letters) + 3, len(others)
+        self.place = np.zeros(0x110000, np.min_scalar_type(self.size + self.others))
         for i in range(0x110000):
             if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
                 self.place[i] = self.size - 2
         for i, c in enumerate(letters, 1):
             self.place[ord(c)] = i
-        tables, self.roots, base = [], [], 0
+        for i, c in enumerate(others, self.size):
+            self.place[ord(c)] = i
+        tables, keys, nexts, self.roots, base = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
         self.bits = np.array([np.log2(max(2, len(cleaned[k]))) for k in self.names])
         for k in self.names:
             go = automaton(self.place[np.frombuffer(cleaned[k].encode("utf-32-le"), np.uint32)].tolist())
             at = np.array([(s, c, t) for s, own in enumerate(go) for c, t in own.items()], np.int64).reshape(-1, 3)
+            other = at[:, 1] >= self.size
+            keys.append((at[other, 0] + base) * self.others + at[other, 1] - self.size)
+            nexts.append((at[other, 2] + base) * self.size | np.where(at[other, 0] == 0, NEW, 0))
+            at = at[~other]
             table = np.full((len(go), self.size), -1, np.int64)
             table[at[:, 0], at[:, 1]] = (at[:, 2] + base) * self.size
             start = np.where(table[0] < 0, base * self.size, table[0]) | NEW  # a symbol that the reference lacks is a phrase
@@ -117,6 +132,22 @@ class Parser:
             self.roots.append(base * self.size)
             base += len(go)
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int32)
+        keys, nexts = np.concatenate(keys), np.concatenate(nexts)
+        order = np.argsort(keys)
+        self.keys, self.nexts = keys[order], nexts[order].astype(np.int32)
+
+    def search(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states (rows) have a transition by other letters' symbols, and the transitions."""
+        key = state.astype(np.int64) // self.size * self.others + symbol - self.size
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key, self.nexts[at]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What the table would hold for states (a column for each language) and other letters' symbols (rows)."""
+        roots = np.array(self.roots, np.int32)
+        known, found = self.search(state, symbol[:, None])
+        begins, start = self.search(roots, symbol[:, None])
+        return np.where(known, found, np.where(begins, start, roots | NEW))
 
     def symbols(self, text: bytes | None) -> np.ndarray:
         s = self.place[np.frombuffer((text or b"").decode().lower().encode("utf-32-le"), np.uint32)]
@@ -127,7 +158,7 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), [-(-len(t) // BLOCK) for t in texts])
         blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
         order = np.argsort([-len(b) for b in blocks], kind="stable")
-        grid = np.full((len(blocks), BLOCK), self.size - 1, np.uint8)
+        grid = np.full((len(blocks), BLOCK), self.size - 1, self.place.dtype)
         for i, k in enumerate(order):
             grid[i, : len(blocks[k])] = blocks[k]
         lengths = np.array([len(blocks[k]) for k in order])
@@ -138,7 +169,9 @@ class Parser:
         for k in range(BLOCK):
             if not (n := live[k]):
                 break
-            found = self.table.take(state[:n] + grid[k, :n, None])
+            found = self.table.take(state[:n] + np.minimum(grid[k, :n, None], self.size - 1))
+            if self.others and len(rare := np.flatnonzero(grid[k, :n] >= self.size)):
+                found[rare] = self.step(state[rare], grid[k, rare])
             count[:n] += found >> 30
             state[:n] = found & (NEW - 1)
         out = np.zeros((len(texts), len(self.names)), np.int64)

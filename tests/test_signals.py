@@ -11,7 +11,7 @@ from tonegrid.functions import bits as X
 from tonegrid.operators import frames as W
 from tonegrid.operators import transforms as T
 from tonegrid.operators.rate import rate_control
-from tonegrid.operators.sections import LARGEST, cheapest_sections, direct_form, fixed_length_costs, predicted, reflection
+from tonegrid.operators.sections import LARGEST, cheapest_sections, direct_form, fixed_length_costs, predicted, reflection, with_band_range
 from tonegrid.sinks.containers import adts_streams, mp4_file, mp4_files
 from tonegrid.sources import pcm
 from tonegrid.sources.wav import Layout, file_frames, parse
@@ -156,6 +156,30 @@ def test_prediction(spark):
     assert np.allclose(got["gain"], gain) and got["kept_gain"].mean() > 0.7 * gain.mean()
 
 
+def test_prediction_turns_away_what_it_does_not_help(spark):
+    r = np.random.default_rng(8)
+    tone = np.convolve(r.normal(size=66), [1, 0.9, 0.5])[:64]
+    loud, edges = tone.copy(), (0, 16, 32, 48, 64)
+    loud[:16] *= 1000
+    quiet = np.r_[tone[:32], tone[32:] * 0.01]
+    rows = {"silent": 0 * tone, "hushed": tone * 1e-6, "noise": np.sign(r.normal(size=64)) * 5, "quiet": quiet, "scaled": quiet * 50, "short": quiet, "rateless": quiet, "loud": loud}
+    rate = {"short": 1, "rateless": 7}
+    df = spark.createDataFrame([(i, rate.get(i, 0), x.tolist()) for i, x in rows.items()], "name string, rate int, spec array<double>")
+    ranged = with_band_range(df, F.col("rate"), 4, [(0, 9), (3, 3)])
+    got = {x.name: x for x in predicted(ranged, ["name"], edges=edges).collect()}
+    assert set(got) == {"quiet", "scaled", "loud"}
+    for name, x in got.items():
+        own = rows[name].reshape(4, 16)
+        rms = np.sqrt((own**2).mean(1, keepdims=True))
+        w = (own / np.maximum(rms, rms.max() / 100)).ravel()
+        lags = np.array([[w[: 64 - i] @ w[i:] for i in range(9)]])
+        a = np.r_[1, direct_form(np.array([x.k]))[0]]
+        assert np.isclose(x.gain, reflection(lags)[1][0]) and np.isclose(x.kept_gain, w @ w / (np.convolve(w, a)[:64] ** 2).sum())
+        assert min(x.gain, x.kept_gain) >= 1.4 and x.length == 4 and 0 < x.filter_order <= 8 and not any(x.k[x.filter_order :])
+        assert np.allclose(x.residual, np.convolve(rows[name], a)[:64])
+    assert predicted(df.where("name in ('silent', 'hushed')"), ["name"], least_gain=0.0).count() == 0
+
+
 def test_cheapest_sections_are_no_dearer_than_any_choice(spark):
     r = np.random.default_rng(7)
     rows = [(i, [[int(v) for v in r.integers(0, 2 ** r.integers(0, 5), 4)] for _ in range(4)]) for i in range(20)]

@@ -11,7 +11,7 @@ from ..operators import bands as B
 from ..operators import frames as W
 from ..operators import transforms as T
 from ..operators.rate import rate_control
-from ..operators.sections import LARGEST, cheapest_sections, fixed_length_costs, predicted
+from ..operators.sections import LARGEST, PREDICTED_BANDS, cheapest_sections, fixed_length_costs, predicted, with_band_range
 from ..sinks.containers import adts_streams, mp4_files
 from ..sources import pcm
 from ..sources.signals import line_samples, spectra, stream_params, table
@@ -182,7 +182,10 @@ def cheapest_books(spark: SparkSession, sf: str) -> DataFrame:
 
 def prediction_gains(spark: SparkSession, sf: str) -> DataFrame:
     """Spectra that a predictor along the lines helps, with their gains before and after quantizing it."""
-    return predicted(spectra(spark, sf), ["frame_no"], order=8, least_gain=1.0).select("frame_no", "gain", "kept_gain")
+    n = len(B.EDGES_64) - 1
+    small = [(lo * n // 51, -(-hi * n // 51)) for lo, hi in PREDICTED_BANDS]  # the ranges in the small band layout
+    ranged = with_band_range(spectra(spark, sf), F.col("stream_id") % 12, n, small)
+    return predicted(ranged, ["frame_no"], order=8, least_gain=1.4, edges=B.EDGES_64).select("frame_no", "gain", "kept_gain")
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,11 +20,14 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 200_000
 #: Texts are worked on in slices of about so many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: What separates words everywhere here: space and the ASCII controls 9 to 13, as ``bytes.split()`` does.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tables written by ``cut``: all, and those of the scope that is open.
+_WRITTEN: set[str] = set()
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -45,7 +50,59 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     costs a re-read at most, and branches that follow share the work."""
     path = f"{shared_dir(df.sparkSession)}/tonegrid/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    made.cut_path = path
+    return made
+
+
+def forget(*made: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing reads them any more."""
+    _delete(made[0].sparkSession, [t.cut_path for t in made])
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` wrote in this process and that are left. Results of operators read such tables
+    when they are computed, so this is for the time after their last use."""
+    _delete(spark, list(_WRITTEN))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that ``cut`` writes inside are deleted at the end, but for those put into the list it gives."""
+    kept, own = [], []
+    token = _SCOPE.set(own)
+    try:
+        yield kept
+    finally:
+        _SCOPE.reset(token)
+    left = {t.cut_path for t in kept}
+    if (outer := _SCOPE.get()) is not None:
+        outer.extend(left)
+    _delete(spark, [p for p in own if p not in left])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN.discard(p)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, dots and all."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to be none of ``columns``, in any case."""
+    taken, lead = {c.lower() for c in columns}, "__"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
 
 
 def checked_broadcast(small: DataFrame, rows: int | None = None) -> DataFrame:
@@ -63,11 +120,32 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _filtered(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    small = keys.toDF(*[f"__k{i}" for i in range(len(on))])
-    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(on)]
+    own = unused(df.columns, *[f"k{i}" for i in range(len(on))])
+    small = keys.toDF(*own)
+    same = [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(on, own)]
     return df.join(checked_broadcast(small), same, how)
 
 
+#: Bits a key has in a bit filter, and the most bits of one (32 MB as a broadcast).
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def likely_in(df: DataFrame, on: list[Column], keys: DataFrame, key: list[Column]) -> DataFrame:
+    """df with ``likely``: true where its key is among those of ``keys``, and for one in 16 or fewer of the others.
+
+    Each key sets one bit of a bit map, which is broadcast in pieces of 4 KB. The map has a fixed bound; past 16
+    million keys more and more others are taken for likely, which costs work but no row.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
+    piece, bit, held_bits, at = unused(df.columns, "piece", "bit", "held", "at")
+    built = keys.select(place(key).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(piece)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(held_bits))
+    placed = df.withColumn(at, place(on)).withColumn(piece, F.bitmap_bucket_number(at)).withColumn(bit, F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.substring(held_bits, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.col(bit).cast("int") % 8) == 1, F.lit(False))
+    return placed.join(F.broadcast(built), piece, "left").withColumn("likely", hit).drop(piece, bit, held_bits, at)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows of at most ``most`` bytes together, or of one row."""
     start = total = 0
@@ -80,14 +158,17 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: Things that a Python worker holds at a time, each with a bound of its own.
+MOST_HELD = 1
 _HELD: dict = {}
 
 
 def held(key: object, build: Callable) -> object:
     """What ``build()`` made in this Python worker for the key. A worker serves many tasks, of several operators one
-    after another; it holds one such thing at a time, so that what one operator remembers doesn't add up with others."""
+    after another, and holds the last MOST_HELD such things, so what one operator remembers doesn't add up with others."""
     if key not in _HELD:
-        _HELD.clear()
+        while len(_HELD) >= MOST_HELD:
+            del _HELD[next(iter(_HELD))]
         _HELD[key] = build()
     return _HELD[key]
 
@@ -100,7 +181,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
     itself kept goes to Python once.
     """
     new = StructType.fromDDL(fields).fields
-    schema = StructType(df.select(*keep).schema.fields + new)
+    kept = [F.col(quoted(c)).alias(c) for c in keep]
+    schema = StructType(df.select(*kept).schema.fields + new)
     first = len(keep) + (text not in keep)  # of the columns of also
     names = [f.name for f in new]
     types = {f.name: f.dataType for f in new}
@@ -120,8 +202,6 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow[n]) for n, c in zip(names, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + cols, names=[f.name for f in schema.fields])
 
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS) == "10000":  # Spark's default; documents are long rows
-        conf.set(BATCH_ROWS, "1000")
-    own = [] if text in keep else [F.col(text).cast("string").alias("__text")]
-    return df.select(*keep, *own, *[F.col(c).alias(f"__{c}") for c in also]).mapInArrow(run, schema)
+    given = unused(keep, "text", *[f"also{i}" for i in range(len(also))])
+    own = [] if text in keep else [F.col(quoted(text)).cast("string").alias(given[0])]
+    return df.select(*kept, *own, *[F.col(quoted(c)).alias(a) for c, a in zip(also, given[1:])]).mapInArrow(run, schema)

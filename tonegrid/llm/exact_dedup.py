@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_keys, keep_keys
+from .common import cut, drop_keys, keep_keys, scratch
 
 
 def misra_gries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
@@ -57,16 +57,19 @@ def exact_dedup(docs: DataFrame, normalise: Callable[[Column], Column] | None =
 
 
 def distinct_documents(docs: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
-    """docs with all their columns, without the rows that exact_dedup drops."""
+    """docs with all their columns, without the rows that exact_dedup drops: one row of each text stays, also where
+    rows repeat or have no doc_id. A row travels as one struct, so its columns may have any names."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sha = F.sha2((normalise(text) if normalise else text).cast("binary"), 256)
-    key = ["__id", "__sha"]
-    rows = exact_dedup(docs, normalise).where("group_size > 1")
-    by_key = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("won"), F.count(F.lit(1)).alias("n"))
-    by_key = cut(by_key.where("n > 1 or not won"), "dropped")
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": sha})
+    key = ["id", "sha"]
+    with scratch(docs.sparkSession) as kept:
+        rows = exact_dedup(docs, normalise).where("group_size > 1")
+        by_key = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("won"), F.count(F.lit(1)).alias("n"))
+        by_key = cut(by_key.where("n > 1 or not won"), "dropped")
+        kept.append(by_key)
+    keyed = docs.select(F.col("doc_id").alias("id"), sha.alias("sha"), F.struct("*").alias("row"))
     out = drop_keys(keyed, by_key.select(*key), key)
     again = by_key.where("won").select(*key)  # the same text under the same doc_id: one row stays
     if not again.isEmpty():
         out = out.unionByName(keep_keys(keyed, again, key).dropDuplicates(key))
-    return out.drop(*key)
+    return out.select("row.*")

@@ -181,3 +181,23 @@ def test_oracles_on_the_smallest_tables(spark):
         rounded = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
         assert rounded(map(tuple, got.select(*columns).collect())) == rounded(want), name
     assert distinct_documents(spark.read.parquet(f"{SF}/documents.parquet")).count() == db.sql("SELECT count(DISTINCT text) FROM documents").fetchall()[0][0]
+
+
+def test_encoders_are_told_apart_by_content(spark):
+    """Two vocabularies of one size in one session."""
+    one, other = {bytes([i]): i for i in range(256)} | {b"ab": 256}, {bytes([i]): i for i in range(256)} | {b"cd": 256}
+    docs = spark.createDataFrame([(1, "abab"), (2, "cdcd")], "doc_id long, text string").coalesce(1)
+    got = [{r.doc_id: r.n_tokens for r in token_lengths(docs, m, r"\S+|\s+").collect()} for m in (one, other)]
+    assert got == [{1: 2, 2: 4}, {1: 4, 2: 2}]
+
+
+def test_token_query_on_the_smallest_tables(spark):
+    from tonegrid.llm.queries import QUERIES
+
+    own = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={})
+    want = np.array(sorted(len(own.encode_ordinary(t or "")) for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()))
+    got = QUERIES["op8_token_counts"](spark, SF).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(set(want.tolist()))
+    for r in got:
+        k = r.n_tokens
+        assert (r.n_docs, r.docs_at_most, r.docs_at_least, r.tokens_at_least, r.truncated_total) == ((want == k).sum(), (want <= k).sum(), (want >= k).sum(), want[want >= k].sum(), np.minimum(want, k).sum())

@@ -3,25 +3,28 @@
 References: for each language, the mean histogram of character classes and that of its most common words, over all
 documents that name the language. A document's Jensen-Shannon distance (0 to 1, base 2) is that to the nearest
 reference, whatever language it names itself. It is rejected when a distance is over its limit, unless it is too
-short for that histogram to say anything.
+short for that histogram to say anything. A document that names a language without a reference (there are references
+for a bounded number of languages) has nothing to be compared with, so the base rule alone decides.
 
 Nulls: a null text has no words, so its base rule fails; a null lang counts towards no reference. Empty texts and
 texts of white space are as null. With no reference at all only the base rule decides. Rows are judged one by one,
-so repeated rows get equal results. An empty table gives an empty result. Extra columns are not looked at.
+so repeated rows get equal results. An empty table gives an empty result. Extra columns are not looked at, and a table
+without a lang is as one where lang is null.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held, map_text
+from .common import cut, forget, held, map_text, quoted, unused
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: white space, small letter, capital, digit, sentence mark, symbol, beyond ASCII, other.
@@ -44,25 +47,37 @@ def class_table() -> np.ndarray:
 
 @dataclass(frozen=True)
 class References:
-    """For each language: shares of the character classes, its common words and their shares, then that of all others."""
+    """For each language: shares of the character classes, its common words and their shares, then that of all others;
+    and its name (no names at all: every document is compared)."""
 
     classes: np.ndarray
     words: list[list[bytes]]
     shares: list[np.ndarray]
+    langs: list[str] = field(default_factory=list)
 
 
-def summaries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
-    """Of one task, for each language at most ``counters`` words (Misra-Gries) that may be common."""
-    held: dict[str, Counter] = {}
+def summaries(batches: Iterator[pa.RecordBatch], counters: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Of one task, for each language at most ``counters`` words (Misra-Gries) that may be common. Summaries add up, so
+    a task that holds ``most`` counters, of however many languages, hands them on and starts anew."""
+    names, types = ["lang", "word", "least"], (pa.string(), pa.binary(), pa.int64())
+
+    def handed_on(found: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(lang, w, n) for lang, own in found.items() for w, n in pruned(own, counters).items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+
+    found, total = {}, 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            own = held.setdefault(lang, Counter())
+            own = found.setdefault(lang, Counter())
+            total -= len(own)
             own.update((text or b"").split())
             if len(own) > 16 * counters:
-                held[lang] = pruned(own, counters)
-    rows = [(lang, w, n) for lang, own in held.items() for w, n in pruned(own, counters).items()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64()))], names=["lang", "word", "least"])
+                found[lang] = own = pruned(own, counters)
+            total += len(own)
+            if total > most:
+                yield handed_on(found)
+                found, total = {}, 0
+    yield handed_on(found)
 
 
 def pruned(counts: Counter, counters: int) -> Counter:
@@ -73,14 +88,16 @@ def pruned(counts: Counter, counters: int) -> Counter:
 
 
 def counted(batches: Iterator[pa.RecordBatch], likely: dict[str, set]) -> Iterator[pa.RecordBatch]:
-    """Of one task, for each language: its documents' shares of the likely words, of all words (key ``w``) and of the
+    """Of one task, for each language with likely words: its documents' shares of the likely words, of all words (key ``w``) and of the
     character classes (``c0`` ...), in millionths, summed. A long document counts as much as a short one, and whole
     numbers add up alike in any order."""
     table, totals = class_table(), {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            if (mine := likely.get(lang)) is None:
+                continue
             text, own = text or b"", totals.setdefault(lang, Counter())
-            words, mine = Counter(text.split()), likely.get(lang, set())
+            words = Counter(text.split())
             if not words:
                 continue
             n = words.total()
@@ -97,23 +114,24 @@ def counted(batches: Iterator[pa.RecordBatch], likely: dict[str, set]) -> Iterat
 
 def references(docs: DataFrame, top: int = 32, counters: int = 4096, languages: int = 1000) -> References:
     """References of at most ``languages`` languages (those with most words), of ``top`` words each, so that what
-    the driver gets has a fixed bound. Candidates for the common words come from mergeable summaries that hold
+    the driver gets has a fixed bound: 2 * top words and their sums, and N_CLASSES + 1 more, for each. Candidates for the
+    common words, the 2 * top that occur most, come from mergeable summaries that hold
     every word with over 2 / counters of a language's words; their shares are exact and cover all documents."""
     texts = docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     found = texts.mapInArrow(lambda it: summaries(it, counters), "lang string, word binary, least long").groupBy("lang", "word").agg(F.sum("least").alias("least"))
+    found = cut(found, "summaries")  # texts are summarised once
     heavy = found.groupBy("lang").agg(F.sum("least").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    found = cut(found, "summaries")
     first = Window.partitionBy("lang").orderBy(F.desc("least"), "word")
     likely: dict[str, set] = {}
     for lang, word in found.join(F.broadcast(heavy), "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * top).select("lang", "word").collect():
         likely.setdefault(lang, set()).add(bytes(word))
+    forget(found)
     exact = texts.mapInArrow(lambda it: counted(it, likely), "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts: dict[str, dict] = {}
     for lang, key, n in exact.collect():
-        if lang in likely:
-            counts.setdefault(lang, {})[bytes(key)] = n
-    classes, words, shares = [], [], []
-    for _, own in sorted(counts.items()):
+        counts.setdefault(lang, {})[bytes(key)] = n
+    classes, words, shares, langs = [], [], [], []
+    for lang, own in sorted(counts.items()):
         c = np.array([own.get(b"c%d" % k, 0) for k in range(N_CLASSES)], float)
         best = sorted(((-n, k) for k, n in own.items() if k[:1] == b"="))[:top]
         w = np.array([-n for n, _ in best] + [own[b"w"] + sum(n for n, _ in best)], float)
@@ -121,7 +139,8 @@ def references(docs: DataFrame, top: int = 32, counters: int = 4096, languages:
             classes.append(c / c.sum())
             words.append([k[1:] for _, k in best])
             shares.append(w / w.sum())
-    return References(np.array(classes).reshape(-1, N_CLASSES), words, shares)
+            langs.append(lang)
+    return References(np.array(classes).reshape(-1, N_CLASSES), words, shares, langs)
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -157,12 +176,15 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def judge(refs: References, class_limit: float, word_limit: float, min_chars: int, min_words: int) -> Callable:
-    def make() -> Callable:
-        table = held("classes", class_table)  # what other operators held goes
+    def tables() -> tuple:
         place = {w: i for i, w in enumerate(dict.fromkeys(w for own in refs.words for w in own))}
         columns = [np.array([place[w] for w in own], int) for own in refs.words]
+        return class_table(), place, columns, frozenset(refs.langs) or None
+
+    def make() -> Callable:
+        table, place, columns, known = held(("rules", pickle.dumps(refs)), tables)
 
-        def one(text: bytes | None) -> tuple:
+        def one(text: bytes | None, lang: str | None) -> tuple:
             text = text or b""
             words = text.split()
             kinds = np.bincount(table[np.frombuffer(text, np.uint8)], minlength=N_CLASSES + 1)
@@ -178,31 +200,35 @@ def judge(refs: References, class_limit: float, word_limit: float, min_chars: in
             failed = n < 20 or 100 * repeat > 30 * n
             by_class = by_word = None
             chars = kinds[:N_CLASSES].sum()
-            if len(refs.classes) and chars >= min_chars:
+            compared = columns and (lang is None or known is None or lang in known)
+            if compared and chars >= min_chars:
                 by_class = float(jensen_shannon(kinds[:N_CLASSES] / chars, refs.classes).min())
-            if columns and n >= min_words:
+            if compared and n >= min_words:
                 counts = Counter(words)
                 own = np.array([counts.get(w, 0) for w in place], float)
                 by_word = min(float(jensen_shannon(np.append(own[c], n - own[c].sum()) / n, s)) for c, s in zip(columns, refs.shares))
             fits = not (by_class is not None and by_class > class_limit or by_word is not None and by_word > word_limit)
             return *row, failed, by_class, by_word, fits and not failed
 
-        return lambda texts: list(zip(*map(one, texts)))
+        return lambda texts, langs: list(zip(*map(one, texts, langs)))
 
     return make
 
 
 def quality_rules(
-    docs: DataFrame, keep: list[str] | None = None, refs: References | None = None, text: str = "text", class_limit: float = 0.3, word_limit: float = 0.42, min_chars: int = 200, min_words: int = 50
+    docs: DataFrame, keep: list[str] | None = None, refs: References | None = None, text: str = "text", lang: str | None = "lang", class_limit: float = 0.3, word_limit: float = 0.42, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
     """The columns ``keep`` (doc_id by default), the base counts, both distances and ``kept`` for each row."""
-    refs = refs or references(docs)
-    return map_text(docs, text, keep or ["doc_id"], FIELDS, judge(refs, class_limit, word_limit, min_chars, min_words))
+    refs, keep = refs or references(docs), keep or ["doc_id"]
+    named = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    (also,) = unused(docs.columns, "lang")
+    return map_text(docs.withColumn(also, named), text, keep, FIELDS, judge(refs, class_limit, word_limit, min_chars, min_words), also=[also])
 
 
 def accepted(docs: DataFrame, **limits: float) -> DataFrame:
-    """docs with all their columns, without the rows that quality_rules rejects."""
+    """docs with all their columns, without the rows that quality_rules rejects: rows with a null or empty text go, of
+    equal rows all stay or all go."""
     own = [f"__{i}" for i in range(len(docs.columns))]
-    judged = docs.select([F.col(f"`{c}`").cast("string" if c == "text" else docs.schema[c].dataType).alias(x) for c, x in zip(docs.columns, own)])
-    kept = quality_rules(judged, keep=own, refs=references(docs), text=own[docs.columns.index("text")], **limits).where("kept")
+    judged = docs.select([F.col(quoted(c)).cast("string" if c == "text" else docs.schema[c].dataType).alias(x) for c, x in zip(docs.columns, own)])
+    kept = quality_rules(judged, keep=own, refs=references(docs), text=own[docs.columns.index("text")], lang=own[docs.columns.index("lang")], **limits).where("kept")
     return kept.select([F.col(x).alias(c) for x, c in zip(own, docs.columns)])

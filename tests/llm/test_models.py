@@ -139,3 +139,111 @@ def test_distances():
     assert np.bincount(class_table(), minlength=N_CLASSES + 1).sum() == 256
     assert repeated_words([b"x"] * 9, 8) == 9 and repeated_words([b"x"] * 8, 8) == 0 and repeated_words(list(map(str, range(20))) * 2, 8) == 40
     assert pytest.approx(float(jensen_shannon(np.array([0.25, 0.75]), np.array([0.5, 0.5]))) ** 2, abs=1e-12) == 0.5 * (0.25 * np.log2(0.25 / 0.375) + 0.75 * np.log2(0.75 / 0.625)) + 0.5 * (0.5 * np.log2(0.5 / 0.375) + 0.5 * np.log2(0.5 / 0.625))
+
+
+def test_quality_model_does_not_depend_on_partitions_or_repeats(spark):
+    r = np.random.default_rng(1)
+    say = lambda k, n: " ".join(f"{k}{x}" for x in r.integers(0, 300, n))
+    rows = [(i, say("good" if i % 3 else "bad", int(r.integers(5, 400)))) for i in range(300)]
+    rows += [(i, f"another text {i} " * 40) for i in range(0, 300, 2)] * 3  # ids on two texts, and repeated rows
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] * 2 + [(7, 0), (8, 1)], "doc_id long, label int")
+    one, other = (compression_quality.fit(frame(spark, rows[::step]).repartition(n), labels.repartition(n), sample=120) for n, step in ((1, 1), (7, -1)))
+    assert one == other and isinstance(one, compression_quality.Model)
+    few = compression_quality.fit(frame(spark, rows), labels, sample_bytes=4000)  # the bound in bytes holds for each label
+    assert len(few.good) <= 4000 and len(few.bad) <= 4000 if isinstance(few, compression_quality.Model) else 0 <= few <= 1
+    assert compression_quality.within([("a", 5), ("b", 9), ("c", 4), ("d", 1)], 10) == [("a", 5), ("c", 4), ("d", 1)]
+
+
+def test_quality_scores_by_hand(spark):
+    """Every chunk compressed with a dictionary that the library attaches by itself, the curve written out."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = compression_quality.fit(docs, labels)
+    size = lambda raw, text: sum(len(zstandard.ZstdCompressor(level=compression_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False, write_checksum=False).compress(text[i : i + 512])) for i in range(0, len(text), 512))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in compression_quality.score_quality(docs, model).collect()[:60]:
+        t = texts[r.doc_id]
+        x = (size(model.good, t) - size(model.bad, t)) / len(t) if t else 0.0
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))), abs=0.02)
+
+
+def test_references_and_verdict_by_hand(spark):
+    """Shares of classes and common words, distances and verdicts, written out over all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+
+    def kind(c):
+        if c in " \t\n\v\f\r":
+            return 0
+        if ord(c) > 127:
+            return 6
+        return 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5 if c in "#*$%&|<>@[]\\^_`{}~/+=" else 7
+
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    classes = lambda t: Counter(map(kind, t))
+    wanted = {}
+    for lang in sorted({x for _, _, x in rows if x is not None}):
+        own = [t for _, t, x in rows if x == lang and words_of(t)]
+        c, w, often = Counter(), Counter(), Counter(m for t in own for m in words_of(t))
+        often = sorted(often, key=lambda k: (-often[k], k.encode()))[:64]  # the words that may be common
+        for t in own:
+            n, m = len(t), words_of(t)
+            for k, v in classes(t).items():
+                c[k] += v * 1_000_000 // n
+            for k in often:
+                w[k] += m.count(k) * 1_000_000 // len(m)
+        wanted[lang] = ([c[k] / sum(c.values()) for k in range(N_CLASSES)], w, len(own) * 1_000_000)
+    refs = references(docs)
+    assert refs.langs == list(wanted)
+    for lang, c, own, s in zip(refs.langs, refs.classes, refs.words, refs.shares):
+        by_class, w, whole = wanted[lang]
+        assert c == pytest.approx(by_class)
+        best = sorted(w, key=lambda k: (-w[k], k.encode()))[: len(own)]
+        assert [k.decode() for k in own] == best and s[:-1] == pytest.approx([w[k] / whole for k in best])
+
+    def distance(p, q):
+        half = lambda a, m: sum(x * np.log2(x / y) for x, y in zip(a, m) if x)
+        m = [(x + y) / 2 for x, y in zip(p, q)]
+        return np.sqrt(max(0, half(p, m) + half(q, m)) / 2)
+
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for i, t, _ in rows:
+        r, ws, n = got[i], words_of(t), len(t)
+        by_class = min(distance([classes(t)[k] / n for k in range(N_CLASSES)], c) for c in refs.classes) if n >= 200 else None
+        counts = Counter(ws)
+        by_word = None
+        if len(ws) >= 50:
+            shares = [[counts[k.decode()] / len(ws) for k in own] for own in refs.words]
+            by_word = min(distance([*p, 1 - sum(p)], q) for p, q in zip(shares, refs.shares))
+        assert (r.class_distance is None) == (by_class is None) and (r.word_distance is None) == (by_word is None)
+        assert by_class is None or r.class_distance == pytest.approx(by_class, abs=1e-6)
+        assert by_word is None or r.word_distance == pytest.approx(by_word, abs=1e-6)
+        assert r.kept == (not r.base_failed and (by_class or 0) <= 0.3 and (by_word or 0) <= 0.42)
+
+
+def test_languages_without_a_reference_have_the_base_rule_alone(spark):
+    r = np.random.default_rng(2)
+    say = lambda k, n: " ".join(f"{k}{x}" for x in r.integers(0, 40, n))
+    rows = [(i, say("ab", 200), "a") for i in range(30)] + [(100, "ÄÖÜ " + say("ÄÖ", 120), "b"), (101, "ÄÖÜ " + say("ÄÖ", 120), None), (102, "ÄÖÜ " + say("ÄÖ", 120), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.kept, x.word_distance) for x in quality_rules(docs, refs=references(docs, languages=1)).collect()}
+    assert got[100] == (True, None) and not got[101][0] and not got[102][0] and got[3][0]
+    assert quality_rules(docs.drop("lang"), refs=references(docs, languages=1)).where("kept").count() == 30
+
+
+def test_summaries_hand_on_what_is_too_much():
+    import pyarrow as pa
+
+    from tonegrid.llm.quality_rules import summaries
+
+    texts = [("a", "x y " * 20), ("b", "p q r"), ("a", "x z"), ("c", "x"), (None, "n")] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts]), pa.array([t for _, t in texts])], names=["lang", "text"])
+    want = Counter((k, w.encode()) for k, t in texts for w in t.split())
+    for most in (1, 3, 1 << 20):
+        found = Counter()
+        for b in summaries(iter([batch]), 100, most):
+            for k, w, n in zip(*(c.to_pylist() for c in b.columns)):
+                found[k, w] += n
+        assert found == want

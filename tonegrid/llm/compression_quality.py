@@ -2,11 +2,14 @@
 
 A text is compressed in chunks, once with each dictionary; (bytes with the good one - bytes with the bad one) / bytes
 of the text is the normalised difference, and a logistic curve fitted on labelled texts that no dictionary has seen
-makes it a probability. The fit uses a bounded sample: at most ``sample`` labelled rows of each label, in the order of
-a hash of doc_id. Scores cover whole texts; only the text is an input.
+makes it a probability. The fit uses a bounded sample of whole texts: at most ``sample`` labelled doc_ids of each label
+and ``sample_bytes`` bytes of their texts, taken in the order of a hash of doc_id; a text that is longer than what is
+left of these bytes is passed over. Scores cover whole texts; only the text is an input.
 
 Nulls and empty texts: the difference is 0, so they get the curve's value there. Labels without a quality or without
-a document are not used. If a label has no rows at all, every score is the share of label 1 (0.5 without labels).
+a document are not used, nor a doc_id that has both labels; of several texts with one doc_id the one with the smallest
+digest is used, so the model doesn't depend on partitions. If a label has no rows at all, every score is the share of
+label 1 (0.5 without labels).
 Rows are scored one by one, so repeated rows get equal results. An empty table gives an empty result. Extra columns
 are not looked at.
 """
@@ -20,6 +23,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_text
 
@@ -41,7 +45,7 @@ class Model:
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text is the dictionary
         return b"".join(samples)[-size:]
 
@@ -79,32 +83,48 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, size: int = 1 << 15) -> Model | float:
+def within(rows: list[tuple], most: int) -> list[tuple]:
+    """Of rows (h, bytes, ...), in order, those that fit together into ``most`` bytes."""
+    taken, left = [], most
+    for row in sorted(rows):
+        if row[1] <= left:
+            taken.append(row)
+            left -= row[1]
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, size: int = 1 << 18, sample_bytes: int = 16 << 20) -> Model | float:
     """The model, or the constant score if a label has no rows. labels: doc_id and label (0 or 1)."""
-    labels = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"), F.max(F.col("label").cast("int")).alias("other"))
+    labels = labels.where("label = other").drop("other")
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = counts.get(1, 0), counts.get(0, 0)
     constant = good / (good + bad) if good + bad else 0.5
-    order = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary"))
-    chosen = [labels.where(F.col("label") == k).withColumn("h", order).orderBy("h", "doc_id").limit(sample) for k in (0, 1)]
-    # at most 2 * sample rows; the first hexadecimal digit decides between dictionary and curve
-    chosen = chosen[0].union(chosen[1]).withColumn("train", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 2 == 0)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    place = F.conv(F.substring("h", 9, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - CHUNK)
-    pieces = rows.where("train").select("h", "label", F.substring("text", (place + 1).cast("int"), F.lit(CHUNK)).alias("piece")).limit(4 * sample).collect()
-    pieces = [(r["label"], r["piece"].encode()) for r in sorted(pieces, key=lambda r: (r["h"], r["piece"]))]
-    by_label = {k: [p for label, p in pieces if label == k and p] for k in (0, 1)}
+    h = F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary"))
+    chosen = [labels.where(F.col("label") == k).withColumn("h", h).orderBy("h", "doc_id").limit(sample) for k in (0, 1)]
+    chosen = chosen[0].union(chosen[1])  # at most 2 * sample rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("h", "label", "doc_id").agg(F.min(F.struct("sha", F.octet_length("text").alias("n"))).alias("one")).select("h", "one.n", "label", "doc_id", "one.sha").collect()
+    used = [row for k in (0, 1) for row in within([tuple(r) for r in found if r["label"] == k], sample_bytes)]
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(i, sha, h, label) for h, _, label, i, sha in used], StructType([labels.schema["doc_id"], *StructType.fromDDL("sha string, h string, label int")]))
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "sha"]).dropDuplicates(["doc_id"])
+    # the last bit of h's first eight digits decides between dictionary and curve
+    rows = rows.withColumn("train", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 2 == 0)
+    whole = sorted((r["h"], r["label"], r["text"].encode()) for r in rows.where("train").select("h", "label", "text").collect())
+    by_label = {k: [t[i : i + CHUNK] for _, label, t in whole if label == k for i in range(0, len(t), CHUNK)] for k in (0, 1)}
     if not all(by_label.values()):
         return constant
-    dicts = {k: dictionary(v, size) for k, v in by_label.items()}
-    own = dicts[1], dicts[0]
-    held = map_text(rows.where("not train"), "text", ["label"], "x double", lambda: lambda texts: [differences(*own)(texts)]).limit(4 * sample).toPandas()
-    if held["label"].nunique() < 2:
+    own = dictionary(by_label[1], size), dictionary(by_label[0], size)
+    held = map_text(rows.where("not train"), "text", ["h", "label"], "x double", lambda: lambda texts: [differences(*own)(texts)]).collect()
+    held = sorted((r["h"], r["label"], r["x"]) for r in held)
+    y, x = np.array([r[1] for r in held]), np.array([r[2] for r in held], float)
+    share = {k: int((y == k).sum()) for k in (0, 1)}
+    if not all(share.values()):
         return constant
-    share = held["label"].value_counts()
-    weight = held["label"].map({1: good / share[1], 0: bad / share[0]}).to_numpy(float)
-    slope, offset = logistic(held["x"].to_numpy(float), held["label"].to_numpy(float), weight / weight.mean())
-    return Model(*own, slope, offset)
+    weight = np.where(y == 1, good / share[1], bad / share[0])
+    return Model(*own, *logistic(x, y.astype(float), weight / weight.mean()))
 
 
 def score_quality(docs: DataFrame, model: Model | float) -> DataFrame:

@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tonegrid.llm.common import cut, forget_all, likely_in, scratch, unused
 from tonegrid.llm.exact_dedup import distinct_documents, exact_dedup, frequent
 from tonegrid.llm.graph import components
 from tonegrid.llm.line_dedup import clean_lines
-from tonegrid.llm.near_dedup import Shingler, Sketcher, banding, distinct_groups, near_dedup
+from tonegrid.llm.near_dedup import Shingler, Sketcher, banding, distinct_groups, most_unlike, near_dedup, unlike
 
 SCHEMA = "doc_id long, text string, row string, node string, kept int, n long"
 
@@ -90,7 +92,7 @@ def near_copies(n, words, edits, seed):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("rows", [[], ODD, near_copies(150, 150, [0, 1, 2, 3, 4], 1), near_copies(60, 40, [0, 1], 2) + [(1000 + i, f"own text {i} " * 5) for i in range(40)]])
+@pytest.mark.parametrize("rows", [[], ODD, near_copies(150, 150, [0, 1, 2, 3, 4], 1), near_copies(60, 40, [0, 1], 2) + [(1000 + i, f"own text {i} " * 5) for i in range(40)], near_copies(260, 200, [3, 4, 5, 6, 9], 4) + near_copies(40, 200, [3], 4) * 2])
 def test_near_dedup(spark, rows, percent):
     got = near_dedup(frame(spark, rows), percent=percent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, percent)
@@ -156,3 +158,61 @@ def test_clean_lines(spark):
     }
     assert clean_lines(frame(spark, [])).count() == 0
     assert clean_lines(frame(spark, [(1, block), (1, block)])).where("n_removed > 0").count() == 0
+
+
+def test_sketch_bytes_differ_as_counted(spark):
+    r = np.random.default_rng(9)
+    t, bands = banding(80)
+    sketcher, rows = Sketcher(t, bands), []
+    for _ in range(50):
+        both = r.integers(0, 2**63, 300, dtype=np.uint64)
+        a, b = sketcher.sketch(both[:260]), sketcher.sketch(both[20:])
+        rows.append((*(sketcher.low_bytes(x).view(np.int64).tolist() for x in (a, b)), int(((a ^ b) & np.uint64(255) != 0).sum())))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
+    assert df.where(f"{unlike('a', 'b')} != n").count() == 0
+    assert most_unlike(160, 85) in range(50, 60) and most_unlike(10, 85) == 10
+
+
+def test_bit_filter_misses_no_key(spark):
+    df = spark.createDataFrame([(i, f"k{i}", i) for i in range(20_000)] + [(None, None, 0)], "a long, b string, __bit long")
+    keys = df.where("a % 50 = 0 or a is null").select("b", "a")
+    got = likely_in(df, [F.col("a"), F.col("b")], keys, [F.col("a"), F.col("b")])
+    assert got.columns == [*df.columns, "likely"] and got.where("not likely and (a % 50 = 0 or a is null)").count() == 0
+    assert got.where("likely").count() < 401 + 20_000 / 8 and likely_in(df, [F.col("a")], keys.limit(0), [F.col("a")]).where("likely").count() == 0
+
+
+def test_tables_go_with_their_scope(spark):
+    import os
+
+    path = lambda t: t.cut_path.removeprefix("file:")
+    with scratch(spark) as kept:
+        one, two = cut(spark.range(3), "one"), cut(spark.range(4), "two")
+        with scratch(spark) as inner:
+            three, four = cut(spark.range(5), "three"), cut(spark.range(6), "four")
+            inner.append(three)
+        assert os.path.isdir(path(three)) and not os.path.isdir(path(four))
+        kept.append(two)
+    assert [os.path.isdir(path(t)) for t in (one, two, three)] == [False, True, False] and two.count() == 4
+    forget_all(spark)
+    assert not os.path.isdir(path(two))
+    assert unused(["a", "__K0", "___k1"], "k0", "k1") == ["____k0", "____k1"]
+
+
+CLASHING = ["__id", "__sha", "__d", "__digest", "__words", "__text", "__k0", "id", "sha", "row", "key", "node", "size", "__size", "__taken", "__n", "__cut", "__c0", "a.b", "__lang", "__also0", "likely", "slice", "lead"]
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "mix", "quality", "lines"])
+def test_columns_with_clashing_names(spark, name):
+    from tonegrid.llm.quality_rules import accepted
+    from tonegrid.llm.source_mix import mixed_documents
+
+    rows = [(i, f"text {i // 2} of " + " ".join(f"w{(i // 2 + j * j) % 211}" for j in range(60)), "en", f"s{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in CLASHING])
+    f = {"exact": distinct_documents, "near": distinct_groups, "mix": lambda d: mixed_documents(d, grain=8), "quality": accepted, "lines": lambda d: clean_lines(d, keep=[c for c in d.columns if c != "text"])}[name]
+    plain, got = f(docs), f(wide)
+    if name != "lines":
+        assert got.columns == wide.columns
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and plain.count()
+    for c in CLASHING:
+        assert got.where(F.col(f"`{c}`") != F.concat(F.lit(f"{c}:"), "doc_id")).count() == 0, c

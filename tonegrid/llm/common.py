@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Rows up to which a side of a few narrow columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -126,12 +126,14 @@ def _filtered(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFr
     return df.join(checked_broadcast(small), same, how)
 
 
+#: Slices that the rows of one key are dealt into where a join could bring very many of them together.
+SLICES = 8
 #: Bits a key has in a bit filter, and the most bits of one (32 MB as a broadcast).
 KEY_BITS, MOST_BITS = 16, 1 << 28
 
 
-def likely_in(df: DataFrame, on: list[Column], keys: DataFrame, key: list[Column]) -> DataFrame:
-    """df with ``likely``: true where its key is among those of ``keys``, and for one in 16 or fewer of the others.
+def likely_in(df: DataFrame, on: list[Column], keys: DataFrame, key: list[Column], name: str = "likely") -> DataFrame:
+    """df with a flag of that name: true where its key is among those of ``keys``, and for one in 16 or fewer of the others.
 
     Each key sets one bit of a bit map, which is broadcast in pieces of 4 KB. The map has a fixed bound; past 16
     million keys more and more others are taken for likely, which costs work but no row.
@@ -143,7 +145,7 @@ def likely_in(df: DataFrame, on: list[Column], keys: DataFrame, key: list[Column
     placed = df.withColumn(at, place(on)).withColumn(piece, F.bitmap_bucket_number(at)).withColumn(bit, F.bitmap_bit_position(at))
     byte = F.conv(F.hex(F.substring(held_bits, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, F.col(bit).cast("int") % 8) == 1, F.lit(False))
-    return placed.join(F.broadcast(built), piece, "left").withColumn("likely", hit).drop(piece, bit, held_bits, at)
+    return placed.join(F.broadcast(built), piece, "left").withColumn(name, hit).drop(piece, bit, held_bits, at)
 
 
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -181,27 +183,26 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: str, make: Calla
     itself kept goes to Python once.
     """
     new = StructType.fromDDL(fields).fields
-    kept = [F.col(quoted(c)).alias(c) for c in keep]
-    schema = StructType(df.select(*kept).schema.fields + new)
-    first = len(keep) + (text not in keep)  # of the columns of also
-    names = [f.name for f in new]
-    types = {f.name: f.dataType for f in new}
+    own = [] if text in keep else [F.col(quoted(text)).cast("string")]
+    given = [*[F.col(quoted(c)) for c in keep], *own, *[F.col(quoted(c)) for c in also]]
+    given = df.select([c.alias(f"c{i}") for i, c in enumerate(given)])  # names that any column may have had don't matter inside
+    whole = given.schema.fields[: len(keep)] + [StructField(f"n{i}", f.dataType) for i, f in enumerate(new)]
+    place, first = keep.index(text) if text in keep else len(keep), len(keep) + len(own)
+    types, names = [f.dataType for f in new], [f.name for f in whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        arrow = {n: to_arrow_type(t) for n, t in types.items()}
+        arrow = [to_arrow_type(t) for t in types]
         work = make()
         for batch in batches:
-            raw = batch.column(keep.index(text) if text in keep else len(keep))
+            raw = batch.column(place)
             raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
             sizes = [x or 0 for x in pc.binary_length(raw).to_pylist()] if len(raw) else []
             for a, b in slices(sizes, SLICE_BYTES):
-                given = [batch.column(first + i).slice(a, b - a).to_pylist() for i in range(len(also))]
-                made = work(raw.slice(a, b - a).to_pylist(), *given)
-                cols = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow[n]) for n, c in zip(names, made, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + cols, names=[f.name for f in schema.fields])
-
-    given = unused(keep, "text", *[f"also{i}" for i in range(len(also))])
-    own = [] if text in keep else [F.col(quoted(text)).cast("string").alias(given[0])]
-    return df.select(*kept, *own, *[F.col(quoted(c)).alias(a) for c, a in zip(also, given[1:])]).mapInArrow(run, schema)
+                others = [batch.column(first + i).slice(a, b - a).to_pylist() for i in range(len(also))]
+                made = work(raw.slice(a, b - a).to_pylist(), *others)
+                cols = [c if isinstance(c, pa.Array) else pa.array(c, type=t) for t, c in zip(arrow, made, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + cols, names=names)
+
+    return given.mapInArrow(run, StructType(whole)).toDF(*keep, *[f.name for f in new])

@@ -7,15 +7,17 @@
 2. Documents with equal sets form a class; from here on there is one node for each class.
 3. Banding: a bucket holds the classes that agree on all coordinates of a band. The bucket's smallest node leads;
    each other node is a candidate pair with the leader, so pairs are linear in the bucket's size.
-4. Candidates are verified on full sets, and links give components.
-5. What the leaders leave open: pairs of one bucket whose components differ. Buckets try further leaders, still one
-   pair for each node, while the pairs left are many; then each pair left is tried, but for those that an exact
-   bound excludes. Of a node's shingles only those count that some other open node has too, and they are counted
-   in 64 hashed bins: two nodes have at most the sum of the bins' smaller counts in common. So a node whose bins
-   hold less than the limit times its set has no link at all, and a pair is
-   left only if that sum is enough for the limit. Components are then final.
-
-Bands are as many as it takes for a pair at the limit to share no bucket with probability 1e-8 at most.
+4. A pair whose sketches agree in far fewer coordinates than a pair at the limit does is no candidate (the limit is set
+   so that a pair at the limit is lost with probability 1e-9 at most). The others are verified on full sets, and links
+   give components.
+5. What the leaders leave open: nodes of buckets whose components differ. All their pairs at the limit are found by
+   prefix filtering, whatever their buckets: in one order of all items, rare ones first, two sets that are similar
+   enough share an item among their first few. Items that a bounded sample of nodes holds often come last in that
+   order; this only decides how much work is done. Pairs that share a prefix item meet by an equi-join, those that
+   sizes, positions or sketches exclude are dropped in the join, the others are verified. Components are then final.
+
+Bands are as many as it takes for a pair at the limit to share no bucket with probability 1e-8 at most. Where one node
+has very many pairs, its facts are joined in slices, so that no task has all of them.
 
 Nulls: a null text is an empty set; a null doc_id has no say in a component's smallest doc_id unless all are null.
 Empty sets are linked with nothing. Repeated rows have equal sets, so they share a component. An empty table gives
@@ -25,7 +27,7 @@ an empty result. Extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, drop_keys, held, keep_keys, map_text
+from .common import SLICES, checked_broadcast, cut, drop_keys, held, keep_keys, likely_in, map_text, scratch
 from .graph import components
 
 CACHED_WORDS = 200_000
-#: Buckets try up to so many further leaders while more than so many pairs a row are left; then all pairs left.
-LEADER_TURNS, PAIRS_A_NODE = 2, 2
+#: Slices that the holders of one frequent item are dealt into.
+ITEM_SLICES = 4
+#: Nodes in the sample that tells frequent items, and how many such items there are at most.
+SAMPLED_NODES, FREQUENT_ITEMS = 4096, 100_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,6 +104,12 @@ class Sketcher:
             out[j] = (np.uint64(t + j) << np.uint64(32)) | (mixed(items ^ self.seeds[t + j]) & low).min()
         return out
 
+    def low_bytes(self, sketch: np.ndarray) -> np.ndarray:
+        """A byte of each coordinate, eight in a long; bytes that fill the last one up are 0."""
+        out = np.zeros(-(-self.t // 8) * 8, np.uint8)
+        out[: self.t] = sketch & np.uint64(0xFF)
+        return out.view(np.uint64)
+
     def band_keys(self, sketch: np.ndarray) -> np.ndarray:
         rows = (mixed(sketch).reshape(self.bands, -1) * self.factors).sum(1)
         return mixed(rows + np.arange(self.bands, dtype=np.uint64) * self.seeds[0])
@@ -129,33 +139,69 @@ def sketched(docs: DataFrame, width: int, t: int, bands: int, keep: list[str]) -
     return map_text(docs.select(*keep, "text").withColumn("row", F.monotonically_increasing_id()), "text", [*keep, "row"], "n long, d1 long, d2 long, keys array<long>", make)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and its full set, for nodes (node, doc_id, d1, d2). Only texts of their doc_ids are read again."""
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int, t: int, bands: int, repeats: bool) -> DataFrame:
+    """node, its full set and a byte of each coordinate of its sketch, for nodes (node, doc_id, d1, d2). Only texts
+    whose doc_ids are likely among those of nodes are worked on again. ``repeats``: whether rows may share a node's
+    doc_id and set, so that one has to be chosen."""
 
     def make() -> Callable:
-        shingle = held(("shingles", width), lambda: Shingler(width))
+        shingle, sketcher = held(("shingles", width), lambda: Shingler(width)), Sketcher(t, bands)
 
         def work(texts: list) -> list:
             sets = [shingle(x) for x in texts]
             d1, d2 = zip(*map(halves, sets))
-            return [d1, d2, lists(sets)]
+            return [d1, d2, lists(sets), lists([sketcher.low_bytes(sketcher.sketch(x)) if len(x) else None for x in sets])]
 
         return work
 
-    wanted = nodes.select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(checked_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    found = map_text(texts, "text", ["doc_id"], "d1 long, d2 long, items array<long>", make)
-    same = [found.doc_id.eqNullSafe(nodes.doc_id), found.d1 == nodes.d1, found.d2 == nodes.d2]
-    return cut(found.join(nodes, same).select("node", "items"), "sets")
+    texts = likely_in(docs.select("doc_id", "text"), [F.col("doc_id")], nodes, [F.col("doc_id")]).where("likely")
+    found = map_text(texts, "text", ["doc_id"], "d1 long, d2 long, items array<long>, low array<long>", make)
+    small = checked_broadcast(nodes.select("node", F.col("doc_id").alias("id"), F.col("d1").alias("e1"), F.col("d2").alias("e2")))
+    same = F.expr("doc_id <=> id and d1 = e1 and d2 = e2")
+    made = found.join(small, same).select("node", "items", "low")
+    return cut(made.dropDuplicates(["node"]) if repeats else made, "sets")
+
+
+def with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (a, b) with facts (node and others) of both, as other_a and other_b. A node that stands in many pairs as a
+    meets them in slices."""
+    names = [c for c in facts.columns if c != "node"]
+    needed = likely_in(facts, [F.col("node")], pairs.select("a").union(pairs.select("b")), [F.col("a")]).where("likely").drop("likely")
+    of = lambda x: needed.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+    sliced = pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(SLICES)))
+    first = sliced.select("a", "slice").distinct().join(of("a"), "a")
+    return sliced.join(of("b"), "b").join(first, ["a", "slice"]).drop("slice")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) with the sizes of their sets and of the intersection, from full sets."""
-    left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
-    both = pairs.select("a", "b").distinct().join(right, "b").join(left, "a")
+    both = with_facts(cut(pairs.select("a", "b").distinct(), "candidates"), sets.select("node", "items"))
     sized = both.select("a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("common"))
-    return cut(sized.withColumn("either", F.expr("na + nb - common")).dropDuplicates(["a", "b"]), "verified")
+    return cut(sized.withColumn("either", F.expr("na + nb - common")), "verified")
+
+
+def most_unlike(t: int, percent: int, missed: float = 1e-9) -> int:
+    """In how many of t coordinates the sketches of a pair at ``percent`` differ at most, but for that probability."""
+    p = 1 - percent / 100
+    tail, k = 0.0, t
+    while k and tail + (own := comb(t, k) * p**k * (1 - p) ** (t - k)) <= missed:
+        tail, k = tail + own, k - 1
+    return k
+
+
+#: In how many coordinates two sketches' bytes differ: each byte's bits are folded into its lowest one and counted.
+FOLDED = "aggregate(zip_with({a}, {b}, (x, y) -> x ^ y), 0, (n, x) -> n + bit_count(({f3}) & 72340172838076673))"
+
+
+def unlike(a: str, b: str) -> str:
+    f1 = "(x | shiftrightunsigned(x, 4))"
+    f2 = f"({f1} | shiftrightunsigned({f1}, 2))"
+    return FOLDED.format(a=a, b=b, f3=f"{f2} | shiftrightunsigned({f2}, 1)")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in ``most`` coordinates or fewer."""
+    return with_facts(cut(pairs, "pairs"), sets.select("node", "low")).where(f"{unlike('low_a', 'low_b')} <= {most}").select("a", "b")
 
 
 def banding(percent: int, missed: float = 1e-8) -> tuple[int, int]:
@@ -168,32 +214,56 @@ def banding(percent: int, missed: float = 1e-8) -> tuple[int, int]:
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row: documents are linked when at least ``percent``
     hundredths of their shingles' union are common, and of each component the smallest doc_id is kept."""
-    seen, out = grouped(docs, percent, width, ["doc_id"])
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = seen.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with scratch(docs.sparkSession) as kept:
+        seen, out = grouped(docs, percent, width, ["doc_id"])
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        empty = seen.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        kept.append(cut(out.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near"))
+    return kept[0]
 
 
 def grouped(docs: DataFrame, percent: int, width: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """All rows' sketches, and of the rows with words the columns ``keep`` (doc_id is one), n, component (a row of
     it) and component_id (its smallest doc_id)."""
-    seen = cut(sketched(docs, width, *banding(percent), keep), "sketches")
-    classes = seen.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    rows = cut(seen.where("n > 0").join(classes, ["d1", "d2"]).select(*keep, "n", "d1", "d2", "row", "node", "least", F.when(F.col("row") == F.col("node"), F.col("keys")).alias("keys")), "rows")
+    t, bands = banding(percent)
+    seen = cut(sketched(docs, width, t, bands, keep), "sketches")
+    worded = seen.where("n > 0")
+    copies = worded.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    copies = cut(copies, "copies")
+    # a set that one row has is its own class, map-side; rows of others meet their class in slices
+    flagged = likely_in(worded, [F.col("d1"), F.col("d2")], copies, [F.col("d1"), F.col("d2")])
+    columns = [*keep, "n", "d1", "d2", "row", "keys"]
+    alone = flagged.where("not likely").select(*columns, F.col("row").alias("node"), F.col("doc_id").alias("least"))
+    together = flagged.where("likely").withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(SLICES)))
+    lead = together.select("d1", "d2", "slice").distinct().join(copies, ["d1", "d2"])
+    together = together.join(lead, ["d1", "d2", "slice"], "left").select(*columns, F.coalesce("node", "row").alias("node"), F.expr("if(node is null, doc_id, least)").alias("least"))
+    rows = cut(alone.union(together).withColumn("keys", F.when(F.col("row") == F.col("node"), F.col("keys"))), "rows")
     firsts = rows.where("row = node")
 
-    keys = firsts.select("node", "n", F.explode("keys").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    members = cut(keys.join(leaders, "key").select("key", "lead", "node", "n"), "members")
-    nodes = cut(members.select("node").distinct().join(firsts, "node").select("node", "doc_id", "d1", "d2"), "nodes")
-    sets = sets_of(docs, nodes, width)
-    tried = verified(members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), sets)
-    found = settled(members, sets, tried, percent)
+    keys = firsts.select("node", F.explode("keys").alias("key"))
+    leaders = cut(keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "leaders")
+    # most nodes are alone in most of their buckets: those rows go before the second shuffle
+    shared = likely_in(keys, [F.col("key")], leaders, [F.col("key")]).where("likely").select("key", "node", F.pmod(F.xxhash64("node"), F.lit(SLICES)).alias("slice"))
+    shared = cut(shared, "shared")
+    lead = shared.select("key", "slice").distinct().join(leaders, "key")
+    members = cut(shared.join(lead, ["key", "slice"]).select("key", "lead", "node"), "members")
+    ids = cut(members.select("node").distinct(), "ids")
+    nodes = likely_in(firsts.select("node", "doc_id", "n", "d1", "d2"), [F.col("node")], ids, [F.col("node")]).where("likely").drop("likely")
+    nodes = cut(nodes.join(checked_broadcast(ids), "node", "left_semi"), "nodes")
+    again = rows.where("row != node").select("node", F.col("doc_id").alias("id"))
+    again = again.join(nodes.select(F.col("node").alias("of"), "doc_id"), F.expr("node = of and id <=> doc_id"), "left_semi")
+    sets = sets_of(docs, nodes, width, t, bands, not again.isEmpty())
+    pairs = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    tried = verified(alike(pairs, sets, most_unlike(t, percent)), sets)
+    found = settled(members, nodes, sets, tried, percent, most_unlike(t, percent))
 
     named = firsts.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("node", "component").join(smallest, "component").select("node", "component", "component_id")
-    return seen, rows.select(*keep, "n", "node").join(named, "node").select(*keep, "n", "component", "component_id")
+    # copies of one set get its component in slices
+    dealt = rows.select(*keep, "n", "row", "node").withColumn("slice", F.when(F.col("row") == F.col("node"), -1).otherwise(F.pmod(F.xxhash64("row"), F.lit(SLICES))))
+    each = dealt.select("node", "slice").distinct().join(named, "node")
+    return seen, dealt.join(each, ["node", "slice"]).select(*keep, "n", "component", "component_id")
 
 
 def distinct_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -201,85 +271,78 @@ def distinct_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     this doc_id stands on several texts of the group, that with the smallest digest. A null doc_id is larger than any
     other. Rows without words stay. Of rows with the chosen doc_id and equal texts all stay (exact dedup is another
     operator's), but without a doc_id they are not known to be one document, and one row stays. Rows are told apart
-    by doc_id and text, so what happens to one says nothing of others with its doc_id."""
-    key = ["__id", "__sha"]
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))})
-    rows = cut(grouped(keyed, percent, width, ["doc_id", "__sha"])[1].select(F.col("doc_id").alias("__id"), "__sha", "component", "component_id"), "groups")
-    first = rows.where("__id <=> component_id")
-    several = first.groupBy("component").agg(F.min("__sha").alias("lead"), F.max("__sha").alias("last")).where("lead < last").select("component", "lead")
-    beaten = first.join(checked_broadcast(several), "component").where("__sha != lead")
-    dropped = cut(rows.where("not (__id <=> component_id)").select(*key).union(beaten.select(*key)).distinct(), "dropped")
-    again = cut(drop_keys(first.where("__id is null").groupBy(*key).count().where("count > 1").select(*key), dropped, key), "again")
+    by doc_id and text, so what happens to one says nothing of others with its doc_id. A row travels as one struct, so
+    its columns may have any names."""
+    key = ["id", "sha"]
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("sha")
+    keyed = docs.select(F.col("doc_id").alias("id"), sha, F.struct("*").alias("row"))
+    with scratch(docs.sparkSession) as kept:
+        rows = cut(grouped(docs.select("doc_id", "text", sha), percent, width, ["doc_id", "sha"])[1].select(F.col("doc_id").alias("id"), "sha", "component", "component_id"), "groups")
+        first = rows.where("id <=> component_id")
+        several = first.groupBy("component").agg(F.min("sha").alias("lead"), F.max("sha").alias("last")).where("lead < last").select("component", "lead")
+        beaten = first.join(checked_broadcast(several), "component").where("sha != lead")
+        dropped = cut(rows.where("not (id <=> component_id)").select(*key).union(beaten.select(*key)).distinct(), "dropped")
+        again = cut(drop_keys(first.where("id is null").groupBy(*key).count().where("count > 1").select(*key), dropped, key), "again")
+        kept += [dropped, again]
     out = drop_keys(keyed, dropped, key)
     if not again.isEmpty():
         out = drop_keys(out, again, key).unionByName(keep_keys(keyed, again, key).dropDuplicates(key))
-    return out.drop(*key)
+    return out.select("row.*")
 
 
-def settled(members: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """node and component of all linked nodes, once no pair of one bucket is left that could join two components."""
+def settled(members: DataFrame, nodes: DataFrame, sets: DataFrame, tried: DataFrame, percent: int, most: int) -> DataFrame:
+    """node and component of all linked nodes, once no pair at the limit is left that could join two components."""
     linked = F.expr(f"100 * common >= {percent} * either")
-    links, done = tried.where(linked).select("a", "b"), tried.select("a", "b")
-    buckets, shared = members.select("key", "node", "n"), None
-    for turn in range(LEADER_TURNS + 1):
-        found = components(links)
-        placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = cut(still_open(placed), "open")
-        if shared is None:
-            shared = shared_items(sets, placed.select("node").distinct())
-            # this drops nodes without any link, so from now on fewer buckets are open
-            placed = placed.join(shared, "node").where(f"100 * shared >= {percent} * n")
-            placed = cut(still_open(placed), "open")
-        buckets = placed.drop("component")
-        kinds = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.expr("m * m")).alias("within"))
-        rows, pairs = kinds.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.expr("(all * all - within) div 2")), F.lit(0))).first()
-        if not pairs:
-            return found
-        last = turn == LEADER_TURNS or pairs <= PAIRS_A_NODE * rows
-        open_pairs = cut((all_pairs(placed, percent) if last else leader_pairs(placed, percent, turn)).join(done, ["a", "b"], "left_anti"), "pairs")
-        more = verified(open_pairs, sets)
-        links, done = links.union(more.where(linked).select("a", "b")), done.union(more.select("a", "b"))
-        if last:
-            return components(links)
-    raise AssertionError("the last turn returns")
-
-
-def still_open(placed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold nodes of several components."""
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return placed.join(split, "key", "left_semi")
-
-
-def shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, how many of its items another one of the nodes has too, and their counts in hashed bins."""
-    own_sets = sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    items = own_sets.select("node", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node")).where("m = 1")
-    alone = alone.groupBy("node").agg(F.collect_list("item").alias("alone"))  # at most the node's own set
+    links = tried.where(linked).select("a", "b")
+    found = components(links)
+    placed = cut(members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    split = cut(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "split")
+    open_nodes = placed.join(checked_broadcast(split), "key", "left_semi").select("node", "component").distinct()
+    open_nodes = cut(open_nodes.join(nodes.select("node", "n"), "node"), "open")
+    pairs = cut(prefix_pairs(sets, open_nodes, percent, most), "pairs")
+    more = verified(alike(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, most), sets).where(linked).select("a", "b")
+    return found if more.isEmpty() else components(links.union(more))
+
+
+def frequent_items(sets: DataFrame, open_nodes: DataFrame) -> dict[int, int]:
+    """Items that a sample of the open nodes holds three times or more, with their counts. The sample is bounded, by a
+    hash of the node; the result orders prefixes and has no say in what is found."""
+    every = max(1, -(-open_nodes.count() // SAMPLED_NODES))
+    sample = open_nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("node")
+    items = sets.join(checked_broadcast(sample), "node", "left_semi").select(F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("m")).where("m >= 3").orderBy(F.desc("m"), "item").limit(FREQUENT_ITEMS)
+    return {r["item"]: r["m"] for r in often.collect()}
+
+
+def prefix_pairs(sets: DataFrame, open_nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of open nodes in different components that may be at the limit: all that are, and some more."""
+    often = frequent_items(sets, open_nodes)
+    known, counts = np.array(sorted(often), np.int64), np.array([often[k] for k in sorted(often)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [np.bincount(np.array(x, np.int64) & 63, minlength=64) - np.bincount(np.array(y or [], np.int64) & 63, minlength=64) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            cols = [batch.column(0), pa.array([int(x.sum()) for x in bins], pa.int64()), pa.array([x.tolist() for x in bins], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "shared", "bins"])
-
-    return cut(own_sets.join(alone, "node", "left").select("node", "items", "alone").mapInArrow(run, "node long, shared long, bins array<int>"), "shared")
-
-
-#: Whether two open nodes can be linked: first by the smaller total, then bin by bin.
-FITS = "100 * least({a}.shared, {b}.shared) >= {percent} * ({a}.n + {b}.n - least({a}.shared, {b}.shared)) and aggregate(zip_with({a}.bins, {b}.bins, (x, y) -> least(x, y)), 0, (s, x) -> s + x) * (100 + {percent}) >= {percent} * ({a}.n + {b}.n)"
-
-
-def leader_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each open bucket's next leader with the bucket's nodes of other components: first the node with the fewest
-    items of its own, then one by a hash of the turn."""
-    rank = F.struct((F.col("n") - F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("rank"), "node", "component", "n", "shared", "bins")
-    leaders = placed.groupBy("key").agg(F.min(rank).alias("lead"))
-    both = placed.alias("x").join(leaders, "key").where("x.component != lead.component").where(FITS.format(a="x", b="lead", percent=percent)).select("x.node", "lead")
-    return both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-
-
-def all_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    a, b = placed.alias("a"), placed.alias("b")
-    fits = f"a.key = b.key and a.node < b.node and a.component != b.component and {FITS.format(a='a', b='b', percent=percent)}"
-    return a.join(b, F.expr(fits)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+            made = [(np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)]
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = items.values.to_numpy()
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, counts[at], 0)
+                first = np.lexsort((x, rank))[: len(x) - -(-percent * len(x) // 100) + 1]
+                made.append((np.full(len(first), node), x[first], np.arange(len(first)), rank[first] > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["node", "item", "pos", "often"])
+
+    held_sets = likely_in(sets, [F.col("node")], open_nodes, [F.col("node")]).where("likely")
+    prefixes = held_sets.select("node", "items").mapInArrow(run, "node long, item long, pos long, often boolean")
+    prefixes = cut(prefixes, "prefixes")
+    several = cut(prefixes.groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("item"), "several")
+    prefixes = likely_in(prefixes, [F.col("item")], several, [F.col("item")]).where("likely").drop("likely")
+    facts = open_nodes.join(sets.select("node", "low"), "node")
+    # what is frequent meets in slices, and with sketches at hand; the rest has few holders of an item
+    rows = prefixes.join(checked_broadcast(facts, open_nodes.count()), "node").withColumn("low", F.expr("if(often, low, null)"))
+    rows = cut(rows, "held")
+    left = rows.withColumn("slice", F.expr(f"if(often, pmod(xxhash64(node), {ITEM_SLICES}), 0)")).alias("x")
+    right = rows.withColumn("slice", F.explode(F.expr(f"if(often, sequence(0L, {ITEM_SLICES - 1}L), array(0L))"))).alias("y")
+    fits = f"""x.item = y.item and x.slice = y.slice and x.node < y.node and x.component != y.component
+        and {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) and (x.low is null or {unlike("x.low", "y.low")} <= {most})"""
+    return left.join(right, F.expr(fits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

@@ -1,9 +1,11 @@
 """Line dedup by overlapping windows of three lines.
 
 Lines with a word are hashed, A-Z as small letters and without white space at their ends; each three in a row make a
-window. A window that is found more than once keeps its first occurrence, by doc_id and then by place. All lines that
-later occurrences cover go; of each line's text the very first occurrence is never among them. Lines without a word
-stay.
+window. Of a window that is found more than once, the occurrences after the first, by doc_id and then by place, are
+later ones, and all lines that later occurrences cover go. So a line goes only if it stands in the same three lines
+further up in the corpus, and of each line's text the very first occurrence stays. A window's first occurrence as such
+need not: its lines may be covered by a later occurrence of a neighbouring window (of ``a b c``, ``a b c d`` and ``x b c d``
+in this order there remain ``a b c``, ``d`` and ``x``). Lines without a word stay.
 
 A row is named by doc_id and a digest of its text: repeated rows with equal doc_id and text are one row here, lose
 the same lines, and aren't later occurrences of each other. Nulls: a null text has no lines and stays null; a null
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import SLICES, cut, likely_in, map_text, quoted, scratch, unused
 
 WIDTH = 3
 
@@ -54,10 +56,17 @@ def digest() -> Column:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, digest and the places of its windows that are later occurrences, for each row that has such."""
-    found = cut(windows(docs).distinct(), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")))
-    return cut(later.groupBy("doc_id", "digest").agg(F.collect_list("place").alias("later")), "repeated")
+    key = [F.col("h1"), F.col("h2")]
+    with scratch(docs.sparkSession) as kept:
+        found = cut(windows(docs).distinct(), "windows")
+        first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "digest", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        first = cut(first, "firsts")
+        # windows that stand alone go map-side; one that a great many rows have meets its first place in slices
+        shared = likely_in(found, key, first, key).where("likely").drop("likely").withColumn("slice", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SLICES)))
+        lead = shared.select("h1", "h2", "slice").distinct().join(first, ["h1", "h2"])
+        later = shared.join(lead, ["h1", "h2", "slice"]).where(~F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")))
+        kept.append(cut(later.groupBy("doc_id", "digest").agg(F.collect_list("place").alias("later")), "repeated"))
+    return kept[0]
 
 
 def covered(places: list[int], n: int) -> np.ndarray:
@@ -71,11 +80,15 @@ def covered(places: list[int], n: int) -> np.ndarray:
 def clean_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (doc_id by default), clean_text, n_lines (with a word) and n_removed for each row."""
     keep = keep or ["doc_id"]
-    marks = repeated(docs)
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "later")
-    named = docs.select(*keep, F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"), digest())
-    # texts are joined by a sorted shuffle at every size: the marks grow with the documents
-    joined = named.hint("merge").join(marks, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__d")), "left")
+    doc, text, same, row_id, row_digest, later, likely = unused(keep, "doc", "text", "digest", "id", "d", "later", "likely")
+    marks = repeated(docs).toDF(row_id, row_digest, later)
+    named = docs.select(*[F.col(quoted(c)) for c in keep], F.col("doc_id").alias(doc), F.col("text").cast("string").alias(text), digest().alias(same))
+    # texts without a mark stay where they are; those that likely have one are shuffled to it
+    flagged = likely_in(named, [F.col(doc), F.col(same)], marks, [F.col(row_id), F.col(row_digest)], likely)
+    marked = flagged.where(likely).join(marks, F.col(doc).eqNullSafe(F.col(row_id)) & (F.col(same) == F.col(row_digest)), "left")
+    plain = flagged.where(~F.col(likely)).withColumn(later, F.lit(None).cast("array<long>"))
+    columns = [*[F.col(quoted(c)) for c in keep], F.col(text), F.col(later)]
+    joined = plain.select(*columns).union(marked.select(*columns))
 
     def make() -> Callable:
         def one(text: bytes | None, later: list | None) -> tuple:
@@ -93,4 +106,4 @@ def clean_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
         return work
 
-    return map_text(joined, "text", keep, "clean_text string, n_lines long, n_removed long", make, also=["later"])
+    return map_text(joined, text, keep, "clean_text string, n_lines long, n_removed long", make, also=[later])

@@ -61,10 +61,20 @@ def test_mix(spark, rows):
     for d, _, source_size, t, n in got:
         if d in by_id:
             assert source_size == sizes[by_id[d]] and t == pytest.approx(target[by_id[d]])
-        taken[t] += n
-    for t in set(target.values()):
-        same = [s for s in order if target[s] == t]
-        assert abs(taken[next((g[3] for g in got if g[3] == pytest.approx(t)), t)] - t * len(same)) <= sum(sizes[s] / 32 + 1 for s in same)
+        taken[round(t, 6)] += n
+    for t in taken:  # sources of one target are summed
+        assert taken[t] == pytest.approx(sum(int(x + 0.5) for x in target.values() if round(x, 6) == t), abs=1)
+
+
+def test_mix_fills_every_quota(spark):
+    """300 sources of 16 words and more beside two big ones, in few blocks: each takes its target, rounded."""
+    rows = [(i, words(16 + i % 5, i), f"s{i:03}", 0, "") for i in range(300)] + [(1000 + i, words(300, i), "abc"[i % 2] + "big", 0, "") for i in range(400)]
+    got, by_target = mix_sources(frame(spark, rows), grain=256).groupBy("target", "source_size").sum("taken").collect(), 0
+    of = Counter(16 + i % 5 for i in range(300))
+    for t, size, n in got:
+        assert n % int(t + 0.5) == 0 and n // int(t + 0.5) <= of.get(size, 1)
+        by_target += n // int(t + 0.5)
+    assert by_target == 302
 
 
 def test_mixed_documents_are_what_mix_takes(spark):

@@ -15,7 +15,7 @@ from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
 from .source_mix import GOLDEN, mix_sources
 from .token_counts import length_histogram, ranks, token_lengths
-from .url_filter import SOFT, STRICT, filter_urls
+from .url_filter import LIMIT, filter_urls, vocabulary
 
 #: Where the public tokenizers' vocabulary files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -130,14 +130,15 @@ ORACLE = {
                    greatest(ceil(source_size / greatest(1.0, (SELECT sum(source_size) FROM s2) / 65536)), least(source_size, 16))::BIGINT AS n
             FROM s2
         ), s AS (
-            SELECT *, coalesce(sum(quota) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
-            FROM (SELECT *, CASE WHEN n > 0 THEN floor(target * n / source_size + 0.5) ELSE 0 END::BIGINT AS quota FROM s3)
+            SELECT *, coalesce(sum(quota) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low,
+                   floor(target + 0.5)::BIGINT - ((quota - 1) * source_size + n - 1) // greatest(n, 1) AS rest
+            FROM (SELECT *, CASE WHEN n > 0 THEN (floor(target + 0.5)::BIGINT * n + source_size - 1) // source_size ELSE 0 END::BIGINT AS quota FROM s3)
         ), t AS (
             SELECT sum(quota)::BIGINT AS total FROM s
         ), slots AS (
-            SELECT k, ((k + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE % 1) * total AS x FROM (SELECT total, unnest(range(CASE WHEN total > 0 THEN total + total // 50 + 1024 ELSE 0 END)) AS k FROM t)
+            SELECT k, ((k + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE % 1) * total AS x FROM (SELECT total, unnest(range(2 * total)) AS k FROM t)
         ), reads AS (
-            SELECT sid, rank % n AS block, count(*) AS times
+            SELECT sid, rank % n AS block, count(*) FILTER (WHERE rank < quota - 1) AS times, coalesce(max(CASE WHEN rank = quota - 1 THEN rest END), 0) AS head
             FROM (SELECT s.*, row_number() OVER (PARTITION BY sid ORDER BY k) - 1 AS rank FROM slots JOIN s ON x >= low AND x < low + quota)
             WHERE rank < quota GROUP BY ALL
         ), placed AS (
@@ -145,28 +146,29 @@ ORACLE = {
                 SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, size) AS nth, (sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos FROM d
             ) d JOIN s ON d.source IS NOT DISTINCT FROM s.source
         ), taken AS (
-            SELECT p.sid, nth, sum(times * greatest(0, least(pos + size, ((p.block + 1) * source_size + n - 1) // n) - greatest(pos, (p.block * source_size + n - 1) // n))) AS taken
+            SELECT p.sid, nth, sum(times * greatest(0, least(pos + size, ((p.block + 1) * source_size + n - 1) // n) - greatest(pos, (p.block * source_size + n - 1) // n))
+                                   + greatest(0, least(pos + size, (p.block * source_size + n - 1) // n + head) - greatest(pos, (p.block * source_size + n - 1) // n))) AS taken
             FROM (SELECT *, unnest(range(pos * n // source_size, (pos + size - 1) * n // source_size + 1)) AS block FROM placed WHERE size > 0) p
             JOIN reads r ON p.sid = r.sid AND p.block = r.block GROUP BY ALL
         )
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (sid, nth)""",
     "op2_url_filter": rf"""
         WITH parts AS (
-            SELECT page_id, lower(coalesce(url, '')) AS low, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+            SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
         ), p AS (
             SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
         ), hits AS (
-            SELECT p.page_id, count(*) FILTER (WHERE strict) AS n_strict, count(*) FILTER (WHERE NOT strict) AS n_soft
-            FROM p JOIN (VALUES {", ".join(f"('{t}', {str(t in STRICT).lower()})" for t in STRICT + SOFT)}) v(term, strict)
-              ON regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY p.page_id
+            SELECT p.page_id, count(*) FILTER (WHERE weight >= {LIMIT}) AS n_strict, count(*) FILTER (WHERE weight < {LIMIT}) AS n_soft, sum(weight)::BIGINT AS weight
+            FROM p JOIN (VALUES {", ".join(f"('{term}', {weight})" for term, weight in vocabulary().items())}) v(term, weight)
+              ON contains(low, term) AND regexp_matches(low, '(^|[^\pL\pN])' || term || '($|[^\pL\pN])') GROUP BY p.page_id
         ), fits AS (
             SELECT p.page_id, arg_max(rule, len(rule)) AS rule, arg_max(said, len(rule)) AS said
             FROM p JOIN (VALUES {", ".join(f"('{said}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for said, rule in RULES)}) r(said, rule, h, q)
               ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY p.page_id
         )
-        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
-               coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft, coalesce(weight, 0) AS weight
         FROM p LEFT JOIN hits USING (page_id) LEFT JOIN fits USING (page_id)""",
     "op4_line_dedup": r"""
         WITH l AS (

@@ -1,18 +1,20 @@
 """URL filters: allow and block rules, and a weighted vocabulary found by one Aho-Corasick pass.
 
-A url is rejected by the vocabulary when it holds one strict term or ``soft_limit`` distinct soft terms. A term counts
-where no letter or digit (a-z, 0-9) stands right before or after it; A-Z count as small letters; escapes are not
-decoded. A rule fits its host and all subdomains when the url's path starts with the rule's path; the longest rule
-that fits wins over the vocabulary (of equally long ones, the first by code point).
+A term of the vocabulary has a weight. A url is rejected when the distinct terms in it weigh ``limit`` or more: a strict
+term does alone, of soft ones it takes two, of weak ones three, or one beside a soft one. A term counts where no letter
+or digit, of any alphabet, stands right before or after it; A-Z count as small letters; escapes are not decoded. A rule
+fits its host and all subdomains when the url's path starts with the rule's path; the longest rule that fits wins over
+the vocabulary (of equally long ones, the first by code point).
 
 Nulls: a null url, and one without ``://``, has an empty host and path, so no rule fits; a null url is allowed. Very
 long urls are searched whole. Rows are judged one by one, so repeated rows get equal results. An empty table gives an
-empty result. Extra columns are not looked at.
+empty result, an empty vocabulary rejects nothing. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from pathlib import Path
 
 import ahocorasick
 from pyspark.sql import Column, DataFrame
@@ -20,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-#: Sample vocabulary: terms that reject alone, and terms that reject when several meet.
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "phishing", "keygen", "warez")
-SOFT = ("adult", "sexy", "dating", "casino", "poker", "betting", "jackpot", "bonus", "pills", "pharmacy", "loan", "payday", "torrent", "crack", "free", "download")
-
+#: Weights of the kinds of terms, and the weight at which a url is rejected.
+KINDS, LIMIT = {"strict": 5, "soft": 3, "weak": 2}, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-INSIDE = frozenset((LOWER + "0123456789").encode())
+
+
+def vocabulary(path: str | Path = Path(__file__).with_name("url_terms.tsv")) -> dict[str, int]:
+    """Terms and weights of a file of lines: category, kind and terms with spaces between. Read on the driver."""
+    lines = (line.split("\t") for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip())
+    return {term: KINDS[kind] for _, kind, terms in lines for term in terms.split()}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,38 +51,37 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return name, verdict
 
 
-def counting(strict: Sequence[str], soft: Sequence[str]) -> Callable:
-    """Distinct strict and soft terms of each url."""
+def counting(terms: Mapping[str, int], limit: int) -> Callable:
+    """Of each url, the distinct terms that reject alone and those that don't, and what all of them weigh."""
 
     def make() -> Callable:
-        # the automaton reads characters; latin-1 gives each byte of the UTF-8 text one
-        machine = ahocorasick.Automaton()
-        for kind, terms in enumerate((strict, soft)):
-            for term in terms:
-                raw = term.translate(str.maketrans(UPPER, LOWER)).encode()
-                machine.add_word(raw.decode("latin-1"), (kind, raw))
+        machine, small = ahocorasick.Automaton(), str.maketrans(UPPER, LOWER)
+        for term, weight in terms.items():
+            machine.add_word(term.translate(small), (term.translate(small), weight))
         if len(machine):
             machine.make_automaton()
 
-        def one(url: bytes | None) -> tuple[int, int]:
-            url, found = (url or b"").lower(), (set(), set())
-            for end, (kind, term) in machine.iter(url.decode("latin-1")) if len(machine) else ():
+        def one(url: bytes | None) -> tuple[int, int, int]:
+            url, found = (url or b"").decode().translate(small), {}
+            for end, (term, weight) in machine.iter(url) if len(machine) else ():
                 start = end + 1 - len(term)
-                if not (start and url[start - 1] in INSIDE or end + 1 < len(url) and url[end + 1] in INSIDE):
-                    found[kind].add(term)
-            return len(found[0]), len(found[1])
+                if not (start and url[start - 1].isalnum() or end + 1 < len(url) and url[end + 1].isalnum()):
+                    found[term] = weight
+            strict = sum(w >= limit for w in found.values())
+            return strict, len(found) - strict, sum(found.values())
 
         return lambda urls: list(zip(*map(one, urls)))
 
     return make
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = 2) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the numbers of distinct strict and soft terms, for each row."""
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], terms: Mapping[str, int] | None = None, limit: int = LIMIT) -> DataFrame:
+    """page_id, host, path, rule, verdict, the numbers of distinct terms that reject alone (n_strict) and of others
+    (n_soft), and the weight of all, for each row. ``terms`` with their weights are the file's by default."""
     host, path = host_and_path(F.col("url").cast("string"))
     # the parts of a url are found natively; Python only counts terms
     split = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"))
-    found = map_text(split, "url", ["page_id", "host", "path"], "n_strict long, n_soft long", counting(strict, soft))
+    found = map_text(split, "url", ["page_id", "host", "path"], "n_strict long, n_soft long, weight long", counting(vocabulary() if terms is None else terms, limit))
     name, said = first_rule(F.col("host"), F.col("path"), rules)
-    rejected = (F.col("n_strict") > 0) | (F.col("n_soft") >= soft_limit)
-    return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(rejected, "block").otherwise("allow")).alias("verdict"), "n_strict", "n_soft")
+    verdict = F.coalesce(said, F.when(F.col("weight") >= limit, "block").otherwise("allow"))
+    return found.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), "n_strict", "n_soft", "weight")

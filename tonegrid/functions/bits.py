@@ -108,3 +108,16 @@ def fill_left(bits: Column) -> Column:
         return F.when(left < 7, left).when(few < 15, left - 7 - 8 * few).otherwise(left - 15 - 8 * many).cast("long")
 
     return F.aggregate(F.sequence(F.lit(0), (bits / 2167).cast("int") + 2), bits.cast("long"), step)
+
+
+#: A character in UTF-8's outer form, as Latin-1 text of its bytes: overlong forms and surrogates pass.
+OUTER_FORM = r"[\x01-\x7F]+|[\xC0-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF7][\x80-\xBF]{3}"
+
+
+def utf8_text(content: Column) -> tuple[Column, Column]:
+    """Whether bytes, up to the first zero byte, are well-formed in outline, and their text: as UTF-8 if they are
+    (what has no character becomes U+FFFD), else each byte as the Latin-1 character of its number. Null stays null and
+    counts as well-formed."""
+    raw = F.substring_index(F.decode(content, "ISO-8859-1"), "\u0000", 1)
+    valid = F.coalesce(F.regexp_replace(raw, OUTER_FORM, "") == "", F.lit(True))
+    return valid, F.when(valid, F.make_valid_utf8(F.encode(raw, "ISO-8859-1").cast("string"))).otherwise(raw)

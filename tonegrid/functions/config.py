@@ -63,6 +63,35 @@ def status(p: DataFrame) -> Column:
     return F.when(~p.mpeg_version.isin(2, 4), "invalid").when(p.object_type == "HE2", "unsupported").when(~p.object_type.isin("AUTO", "LC", "HE") | bad, "invalid").otherwise("ok")
 
 
+def option_status(p: DataFrame) -> Column:
+    """ok or invalid by the options beside rates and channels: block control, formats, channel map, reserved field. A
+    null map is the channels' own order."""
+    places = F.filter("channel_map", lambda x: x.isNull() | (x < 0) | (x >= p.channels))
+    fits = F.col("channel_map").isNull() | ((F.size("channel_map") >= p.channels) & (F.size(F.slice(places, 1, 1)) == 0))
+    known = p.short_control.isin("normal", "no_short", "no_long") & p.output_format.isin("raw", "framed") & p.input_format.isin("s16", "s24", "s32", "f32")
+    return F.when(F.coalesce(known & fits & (p.reserved == 0), F.lit(False)), "ok").otherwise("invalid")
+
+
+def band_layouts(n_lines: int = 1024, rates: int = 12) -> list[tuple[int, int, int, int]]:
+    """A band layout for each rate index, as (rate_index, sfb, lo, hi), by a rule: widths are multiples of 4 that grow
+    along the spectrum, and faster the higher the rate. A format's own layouts can take its place."""
+    rows = []
+    for i in range(rates):
+        lo = sfb = 0
+        while lo < n_lines:
+            hi = min(n_lines, lo + 4 * (1 + lo // (32 + 4 * i)))
+            rows.append((i, sfb, lo, hi))
+            lo, sfb = hi, sfb + 1
+    return rows
+
+
+def with_layout(streams: DataFrame, index: Column, layouts: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Adds the bands of each stream's rate index, an array of (sfb, lo, hi): a broadcast of one row a rate."""
+    dim = streams.sparkSession.createDataFrame(layouts, "__rate int, sfb int, lo int, hi int")
+    dim = dim.groupBy("__rate").agg(F.array_sort(F.collect_list(F.struct("sfb", "lo", "hi"))).alias("layout"))
+    return streams.join(F.broadcast(dim), index == F.col("__rate"), "left").drop("__rate")
+
+
 def object_type(p: DataFrame) -> Column:
     """AUTO becomes HE where its rate, or without a rate its quality, is in HE's range; LC else."""
     ceiling = F.when(p.sample_rate >= 44100, 32000).when(p.sample_rate >= 32000, 12000 + div((p.sample_rate - 32000) * 20000, 12100)).otherwise(0)

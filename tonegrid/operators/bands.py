@@ -177,3 +177,15 @@ def reflection_index(k: Column, bits: int = 4) -> Column:
 def reflection_value(index: Column, bits: int = 4) -> Column:
     half, quarter = 1 << (bits - 1), 3.141592653589793 / 2
     return F.sin(F.when(index >= 0, index * quarter / (half - 0.5)).otherwise(index * quarter / (half + 0.5)))
+
+
+def measured(bands: DataFrame, cutoff: int, silence: float = 0.4) -> DataFrame:
+    """Bands with the energy and peak they are coded against. bands: any columns and lo, hi, windows (in the band's
+    group), energy, peak (the mean of the windows' largest), ms, el and er. A band that starts at ``cutoff`` or above
+    has neither. One coded as middle and side has half the weaker channel's energy, and its peak in proportion, unless
+    it is silent itself."""
+    swapped = F.col("ms") & (F.col("el") > 0) & (F.col("energy") >= silence * silence * F.col("windows") * (F.col("hi") - F.col("lo")))
+    half = F.least("el", "er") / 2
+    peak = F.when(swapped & (F.col("energy") > 0), F.col("peak") * half / F.col("energy")).otherwise(F.col("peak"))
+    above = F.col("lo") >= cutoff
+    return bands.withColumns({"coded_energy": F.when(above, 0.0).when(swapped, half).otherwise(F.col("energy")), "coded_peak": F.when(above, 0.0).otherwise(peak)})

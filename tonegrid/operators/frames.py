@@ -1,13 +1,13 @@
 """Framing, sub-block energies and block decisions, as window functions and aggregations over sample views.
 
-Every window is partitioned by stream: one shuffle on stream_id serves the chain. Only the running level of ordinary
-streams is a fold in order; it runs on the sub-block energies, a hundredth of the samples.
+Every window is partitioned by stream: one shuffle on stream_id serves the chain. The running level of ordinary streams
+is folded in spans of sub-blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,20 +69,25 @@ def attacks_he(energies: DataFrame, ratio: float = 1.5) -> DataFrame:
     return energies.withColumn("level", level).withColumn("attack", (F.col("energy") > F.col("level") * ratio) | (F.col("energy") * ratio < F.col("level")))
 
 
-def attacks_lc(energies: DataFrame, ratio: float = 2.5, drop: float = 12.0, smooth: float = 0.3) -> DataFrame:
-    """Adds level and attack against a running level. The level is a fold in order, one stream a task: cutting it
-    short would lose that silence after sound keeps asking for short blocks."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sub_no")
-        levels, level = np.empty(len(rows)), 0.0
-        for i, e in enumerate(rows["energy"].tolist()):
-            levels[i] = level
-            level = smooth * e + (1 - smooth) * level
-        e = rows["energy"].to_numpy()
-        return rows.assign(level=levels, attack=(e > ratio * levels) | (e * drop < levels))
+def attacks_lc(energies: DataFrame, ratio: float = 2.5, drop: float = 12.0, smooth: float = 0.3, span: int = 256) -> DataFrame:
+    """Adds level and attack against a running level, ``smooth`` of each energy and the rest of the level before.
 
-    return energies.select("stream_id", "sub_no", "energy").groupBy("stream_id").applyInPandas(fold, "stream_id long, sub_no long, energy double, level double, attack boolean")
+    The level is an affine recurrence, so it is folded within spans of consecutive sub-blocks, one row a span, and a
+    span starts from the spans before it. Those count by powers of what a span leaves of a level; past a few spans that
+    is less than the smallest number, so a window of so many spans is all there is, and no stream is folded whole. In
+    particular silence after sound keeps asking for short blocks for as long as in one fold."""
+    rest = 1 - smooth
+    reach = 1 + ceil(log(5e-324) / (span * log(rest))) if rest > 0 else 1
+    own = energies.groupBy("stream_id", F.floor(F.col("sub_no") / span).cast("long").alias("span_no")).agg(F.array_sort(F.collect_list(F.struct("sub_no", "energy"))).alias("rows"))
+    own = own.withColumn("left", F.aggregate("rows", F.lit(0.0), lambda level, r: r.energy * smooth + level * rest))
+    w = by_stream("span_no")
+    before = sum((F.coalesce(F.lag("left", k).over(w), F.lit(0.0)) * rest ** (span * (k - 1)) for k in range(1, reach + 1)), F.lit(0.0))
+    acc = "struct<level: double, out: array<double>>"
+    start = F.struct(F.col("before").alias("level"), F.array().cast("array<double>").alias("out")).cast(acc)
+    step = lambda s, r: F.struct((r.energy * smooth + s.level * rest).alias("level"), F.concat(s.out, F.array(s.level)).alias("out")).cast(acc)
+    levels = own.withColumn("before", before).withColumn("levels", F.aggregate("rows", start, step, lambda s: s.out))
+    each = levels.select("stream_id", F.explode(F.arrays_zip("rows", "levels")).alias("z")).select("stream_id", "z.rows.sub_no", "z.rows.energy", F.col("z.levels").alias("level"))
+    return each.withColumn("attack", (F.col("energy") > F.col("level") * ratio) | (F.col("energy") * drop < F.col("level")))
 
 
 def wishes(attacked: DataFrame) -> DataFrame:
@@ -159,6 +164,35 @@ def peak_rate(sizes: DataFrame, sample_rate: int, frame_samples: int) -> DataFra
     return windows.groupBy("stream_id").agg(F.coalesce(F.max(rate), F.lit(0)).alias("peak_rate"))
 
 
+def kept_peak_rate(sizes: DataFrame, sample_rate: int) -> DataFrame:
+    """stream_id and the largest bit rate over windows of frames of any durations. sizes: stream_id, frame_no, size and
+    duration. Frames shorter than the longest before them are left out; a window takes frames until it lasts a second
+    and the next one starts anew, so windows depend on all frames before and are folded over each stream's frames, two
+    numbers a frame."""
+    longest = F.max("duration").over(by_stream("frame_no").rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.withColumn("longest", longest).where("duration = longest")
+    acc = "struct<size: bigint, lasts: bigint, most: bigint>"
+
+    def step(s: Column, r: Column) -> Column:
+        size, lasts = s["size"] + r["size"], s.lasts + r.duration
+        full = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lasts"), F.greatest(s.most, F.floor(size * 8 * sample_rate / lasts)).alias("most"))
+        return F.when(lasts >= sample_rate, full.cast(acc)).otherwise(F.struct(size.alias("size"), lasts.alias("lasts"), s.most.alias("most")).cast(acc))
+
+    rows = kept.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "size", "duration"))).alias("rows"))
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lasts"), F.lit(0).alias("most")).cast(acc)
+    return rows.select("stream_id", F.aggregate("rows", start, step, lambda s: s.most).alias("peak_rate"))
+
+
+def common_windows(frames: DataFrame) -> DataFrame:
+    """Frames of channels 2i and 2i + 1 as pairs: pair_no, frame_no, and common, whether they may be coded together, as
+    their block types and numbers of window groups agree. frames: stream_id, frame_no, block_type, n_groups."""
+    sides = frames.withColumn("pair_no", F.floor(F.col("stream_id") / 2).cast("long"))
+    left = sides.where("stream_id % 2 = 0").select("pair_no", "frame_no", "block_type", "n_groups")
+    right = sides.where("stream_id % 2 = 1").select("pair_no", "frame_no", F.col("block_type").alias("other_type"), F.col("n_groups").alias("other_groups"))
+    both = left.join(right, ["pair_no", "frame_no"])
+    return both.select("pair_no", "frame_no", ((F.col("block_type") == F.col("other_type")) & (F.col("n_groups") == F.col("other_groups"))).alias("common"))
+
+
 def group_windows(bands: DataFrame, first_band: int, ratio: float = 3.0) -> DataFrame:
     """Lengths of the groups of a frame's short windows. bands: any columns and ``energy``, an array of windows, each
     an array of band energies. A window starts a group when more than three quarters of the bands have left the

@@ -1,6 +1,11 @@
 """documents -> a filtered, deduplicated, mixed and encoded corpus, in stages that are each written and read again.
 
-Every stage works on all that the one before kept, and all but the last return the columns of documents.
+Every stage works on all that the one before kept, and all but the last return the columns of documents. Nulls, empty
+texts, ties and repeated rows: what each stage's operator says of them; documents without words go in the first stage,
+and an empty table gives an empty corpus. Extra columns of documents come along up to the last stage, under any names.
+
+This is a job of its own: it has Arrow batches of 1,000 rows in its session, unless the session sets their size itself,
+as workers of five operators share an executor's memory and documents are long rows.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm.common import cut, documents
+from tonegrid.llm.common import cut, documents, forget, scratch
 from tonegrid.llm.exact_dedup import distinct_documents
 from tonegrid.llm.near_dedup import distinct_groups
 from tonegrid.llm.pieces import Vocabulary, encode
@@ -20,13 +25,22 @@ from tonegrid.llm.source_mix import mixed_documents
 ORACLE_SQL = None
 
 
+BATCH_ROWS, SPARK_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_ROWS, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, those without text among them."""
+    small_batches(spark)
     return accepted(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts, one row stays: that with the largest doc_id."""
     return distinct_documents(docs)
 
 
@@ -55,7 +69,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            kept.append(docs := cut(stage(spark, docs, sf_dir), name))
+        if before:
+            forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,7 +33,7 @@ from .common import held, map_text
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words and pairs of pieces that a Python worker remembers, and the length up to which a word is remembered.
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 400_000, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 200_000, 200_000, 64
 UNIGRAM, BPE = 1, 2
 
 

@@ -56,7 +56,15 @@ class References:
     langs: list[str] = field(default_factory=list)
 
 
-def summaries(batches: Iterator[pa.RecordBatch], counters: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[str | None, bytes]]:
+    """lang and text (UTF-8 bytes) of each row; of a batch, few rows at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, at_once):
+            part = batch.slice(i, at_once)
+            yield from zip(part.column(0).to_pylist(), (t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()))
+
+
+def summaries(batches: Iterator[pa.RecordBatch], counters: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Of one task, for each language at most ``counters`` words (Misra-Gries) that may be common. Summaries add up, so
     a task that holds ``most`` counters, of however many languages, hands them on and starts anew."""
     names, types = ["lang", "word", "least"], (pa.string(), pa.binary(), pa.int64())
@@ -66,17 +74,16 @@ def summaries(batches: Iterator[pa.RecordBatch], counters: int, most: int = 1 <<
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
     found, total = {}, 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            own = found.setdefault(lang, Counter())
-            total -= len(own)
-            own.update((text or b"").split())
-            if len(own) > 16 * counters:
-                found[lang] = own = pruned(own, counters)
-            total += len(own)
-            if total > most:
-                yield handed_on(found)
-                found, total = {}, 0
+    for lang, text in rows_of(batches):
+        own = found.setdefault(lang, Counter())
+        total -= len(own)
+        own.update(text.split())
+        if len(own) > 16 * counters:
+            found[lang] = own = pruned(own, counters)
+        total += len(own)
+        if total > most:
+            yield handed_on(found)
+            found, total = {}, 0
     yield handed_on(found)
 
 
@@ -92,21 +99,19 @@ def counted(batches: Iterator[pa.RecordBatch], likely: dict[str, set]) -> Iterat
     character classes (``c0`` ...), in millionths, summed. A long document counts as much as a short one, and whole
     numbers add up alike in any order."""
     table, totals = class_table(), {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            if (mine := likely.get(lang)) is None:
-                continue
-            text, own = text or b"", totals.setdefault(lang, Counter())
-            words = Counter(text.split())
-            if not words:
-                continue
-            n = words.total()
-            own[b"w"] += 1_000_000
-            for w in words.keys() & mine:
-                own[b"=" + w] += words[w] * 1_000_000 // n
-            kinds = np.bincount(table[np.frombuffer(text, np.uint8)], minlength=N_CLASSES)[:N_CLASSES]
-            for k, share in enumerate((kinds * 1_000_000 // kinds.sum()).tolist()):
-                own[b"c%d" % k] += share
+    for lang, text in rows_of(batches):
+        if (mine := likely.get(lang)) is None:
+            continue
+        words, own = Counter(text.split()), totals.setdefault(lang, Counter())
+        if not words:
+            continue
+        n = words.total()
+        own[b"w"] += 1_000_000
+        for w in words.keys() & mine:
+            own[b"=" + w] += words[w] * 1_000_000 // n
+        kinds = np.bincount(table[np.frombuffer(text, np.uint8)], minlength=N_CLASSES)[:N_CLASSES]
+        for k, share in enumerate((kinds * 1_000_000 // kinds.sum()).tolist()):
+            own[b"c%d" % k] += share
     rows = [(lang, k, n) for lang, own in totals.items() for k, n in own.items()]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int64()))], names=["lang", "key", "n"])

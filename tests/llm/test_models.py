@@ -84,19 +84,22 @@ def test_language_odd_cases(spark):
 
 
 def test_phrases_are_longest_matches():
-    """Counts by automaton and blocks against a search for the longest match at each place."""
-    refs = language_id.References({"a": "the cat sat on the mat and the dog", "b": "der hund und die katze"})
+    """Counts by automaton and blocks against a search for the longest match at each place of the whole text."""
+    r = np.random.default_rng(3)
+    ring = "abcdefg" * 20  # its blocks never agree with the parse that goes on
+    refs = language_id.References({"a": "the cat sat on the mat and the dog", "b": "der hund und die katze", "c": ring})
     parser = language_id.Parser(refs)
-    texts = ["the cat and the hund", "zzz qqq", "und die mat", "a" * 2500 + " the dog"]
+    say = lambda n: " ".join(r.choice((refs.texts["a"] + " " + refs.texts["b"]).split(), n))
+    texts = ["the cat and the hund", "zzz qqq", "und die mat", "a" * 2500 + " the dog", say(1200), "", ring * 40, say(900) + ring * 10 + say(400), "x" * 1024, say(300)[:1025]]
     got = parser.phrases([parser.symbols(t.encode()) for t in texts])
     for t, row in zip(texts, got):
         for name, n in zip(parser.names, row):
-            want = 0
-            for i in range(0, len(t), language_id.BLOCK):
-                rest = t[i : i + language_id.BLOCK]
-                while rest:
-                    k = max([1, *(k for k in range(1, len(rest) + 1) if rest[:k] in refs.texts[name])])
-                    rest, want = rest[k:], want + 1
+            at = want = 0
+            while at < len(t):
+                k = 1
+                while at + k < len(t) and t[at : at + k + 1] in refs.texts[name]:
+                    k += 1
+                at, want = at + k, want + 1
             assert n == want
 
 

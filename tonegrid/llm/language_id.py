@@ -6,13 +6,14 @@ bits that name a place in the reference, divided by the letters and spaces parse
 with the smallest wins (ties: the first by code point). Score: 2 to the minus bits, as a share over the languages.
 
 Texts are lower-cased, and runs of anything but letters become one space. Whole texts are parsed, in blocks of fixed
-length side by side; a block's end also ends a phrase. Every letter of a reference is a symbol of its own,
-whatever the alphabets.
+length side by side, each as if a phrase began there; where one goes on from the block before, the parse is put right
+from the block's start up to where both agree, mostly after a few phrases. So blocks leave no trace in the counts.
+Every letter of a reference is a symbol of its own, whatever the alphabets.
 
-What bounds the references: TOTAL_CHARS are shared out evenly, so of n languages each has at most
-min(LANGUAGE_CHARS, TOTAL_CHARS / n) characters (40,000 for up to 6, 7,500 for 32, 240 for 1,000), in pieces of
-ROW_CHARS from different rows. With many languages, or with letters by the thousand, a reference shows only part of
-what its language uses.
+What bounds the references, as parameters of ``fit``: ``total_chars`` are shared out evenly, so of n languages each has
+at most min(``language_chars``, ``total_chars`` / n) characters (40,000 for up to 6, 7,500 for 32, 240 for 1,000), in
+pieces of ``row_chars`` from different rows. With many languages, or with letters by the thousand, a reference shows only
+part of what its language uses; give more characters then (a worker holds about 1 KB a character).
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, and so is all if nothing was learned. Rows with
 a null lang teach nothing. Rows are judged one by one, so repeated rows get equal results. An empty table gives an
@@ -31,9 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import held, map_text
 
-#: Characters of reference text for all languages together, and for one at most; characters taken from a row. Columns of
-#: the table of frequent letters' transitions; those of other letters are searched for.
-TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 240_000, 40_000, 200
+#: Symbols of a block; columns of the table of frequent letters' transitions, those of other letters are searched for.
 BLOCK, SYMBOLS = 1024, 120
 NEW = 1 << 30
 
@@ -43,18 +42,18 @@ class References:
     texts: dict[str, str]
 
 
-def fit(docs: DataFrame, languages: int = 1000) -> References:
+def fit(docs: DataFrame, languages: int = 1000, total_chars: int = 240_000, language_chars: int = 40_000, row_chars: int = 200) -> References:
     """References from docs' text and lang: of at most ``languages`` languages (those with most rows), rows in the
-    order of a hash of doc_id, and of each a stretch of ROW_CHARS characters at a hashed place."""
+    order of a hash of doc_id, and of each a stretch of ``row_chars`` characters at a hashed place."""
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id")
     common = [r["lang"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
     if not common:
         return References({})
-    chars = min(LANGUAGE_CHARS, TOTAL_CHARS // len(common))
-    rows = max(1, chars // ROW_CHARS)
+    chars = min(language_chars, total_chars // len(common))
+    rows = max(1, chars // row_chars)
     h = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - ROW_CHARS)
-    pieces = known.withColumn("h", h).select("lang", "h", F.substring("text", (place + 1).cast("int"), F.lit(ROW_CHARS)).alias("piece"))
+    place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - row_chars)
+    pieces = known.withColumn("h", h).select("lang", "h", F.substring("text", (place + 1).cast("int"), F.lit(row_chars)).alias("piece"))
     first = Window.partitionBy("lang").orderBy("h", "piece")
     found = pieces.where(F.col("lang").isin(common)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).select("lang", "k", "piece").collect()
     texts: dict[str, list] = {}
@@ -153,6 +152,15 @@ class Parser:
         s = self.place[np.frombuffer((text or b"").decode().lower().encode("utf-32-le"), np.uint32)]
         return s[(s > 0) | np.append(False, s[:-1] > 0)]  # the first space of a run stays
 
+    def follow(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Transitions of single states by symbols under languages."""
+        found = self.table.take(state + np.minimum(symbol, self.size - 1))
+        if self.others and len(rare := np.flatnonzero(symbol >= self.size)):
+            roots = np.array(self.roots, np.int32)[lang[rare]]
+            (known, there), (begins, start) = self.search(state[rare], symbol[rare]), self.search(roots, symbol[rare])
+            found[rare] = np.where(known, there, np.where(begins, start, roots | NEW))
+        return found
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (row) under each language (column)."""
         owner = np.repeat(np.arange(len(texts)), [-(-len(t) // BLOCK) for t in texts])
@@ -174,10 +182,42 @@ class Parser:
                 found[rare] = self.step(state[rare], grid[k, rare])
             count[:n] += found >> 30
             state[:n] = found & (NEW - 1)
+        self.joined(owner, order, lengths, grid, state, count)
         out = np.zeros((len(texts), len(self.names)), np.int64)
         np.add.at(out, owner[order], count)
         return out
 
+    def joined(self, owner: np.ndarray, order: np.ndarray, lengths: np.ndarray, grid: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+        """Puts counts right for blocks that go on from the one before: the parse from there and the one counted run side
+        by side until they agree. One that doesn't up to the block's end changes what the next block goes on from."""
+        after = np.full(len(order), -1)  # the place of the text's next block
+        place = np.argsort(order)
+        goes_on = np.flatnonzero(owner[1:] == owner[:-1])
+        after[place[goes_on]] = place[goes_on + 1]
+        langs = np.arange(len(self.names))
+        row, lang = np.repeat(after[place[goes_on]], len(langs)), np.tile(langs, len(goes_on))
+        old, new = np.array(self.roots, np.int32)[lang], end[np.repeat(place[goes_on], len(langs)), lang]
+        while len(row):
+            left = []
+            for k in range(BLOCK):
+                symbol = grid[k, row]
+                was, now = self.follow(old, symbol, lang), self.follow(new, symbol, lang)
+                count[row, lang] += (now >> 30) - (was >> 30)
+                old, new = was & (NEW - 1), now & (NEW - 1)
+                apart, ends = old != new, lengths[row] == k + 1
+                if (over := np.flatnonzero(apart & ends)).size:
+                    left.append((row[over], lang[over], old[over], new[over]))
+                on = np.flatnonzero(apart & ~ends)
+                row, lang, old, new = row[on], lang[on], old[on], new[on]
+                if not len(row):
+                    break
+            if not left:
+                return
+            row, lang, old, new = map(np.concatenate, zip(*left))
+            row = after[row]
+            on = np.flatnonzero(row >= 0)
+            row, lang, old, new = row[on], lang[on], old[on], new[on]
+
 
 def predict(docs: DataFrame, refs: References) -> DataFrame:
     """doc_id, lang_pred and score for each row."""

@@ -6,6 +6,7 @@ is folded in spans of sub-blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,18 @@ def frames(samples: DataFrame, length: int, lead: int = 0) -> DataFrame:
     return made.select("stream_id", "frame_no", pcm.alias("pcm"))
 
 
+def over_spans(samples: DataFrame, work: Callable[[DataFrame], DataFrame], span: int, back: int, ahead: int, unit: int, order: str = "frame_no") -> DataFrame:
+    """``work(samples)``, with long streams cut into spans of ``span`` samples that are streams of their own inside, so
+    that a stream of any length spreads over tasks. A span also has ``back`` samples before it and ``ahead`` after it:
+    as many as a result depends on. Of the result (stream_id, ``order`` and more), what starts in a span is kept, where
+    a step of ``order`` is ``unit`` samples; numbers stay those of the whole stream. What ``work`` does only at a
+    stream's start it also does at the start of the overlap, where nothing is kept."""
+    first, last = F.greatest(F.lit(0), F.floor((F.col("sample_no") - ahead) / span)), F.floor((F.col("sample_no") + back) / span)
+    cut = samples.withColumn("__span", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    made = work(cut.withColumn("stream_id", F.struct("stream_id", "__span")).drop("__span"))
+    return made.where(F.floor(F.col(order) * unit / span) == F.col("stream_id").getField("__span")).withColumn("stream_id", F.col("stream_id").getField("stream_id"))
+
+
 def neighbours(framed: DataFrame, length: int) -> DataFrame:
     """Adds the frame before and the two after each frame, zeros where there is none."""
     w, none = by_stream("frame_no"), F.array_repeat(F.lit(0.0), length)

@@ -1,12 +1,15 @@
-"""Rate control: the bit reservoir and the quality update, folded in order over each stream's frames.
+"""Rate control: the bit reservoir and the quality update, carried in order over each stream's frames.
 
-The fold is the one part of the chain that can't be split: a frame's quality depends on the frames before it. Frames
-are a few numbers each, streams run side by side, and all that comes before runs frame by frame elsewhere.
+A frame's quality depends on the frames before it, so this is the one part of the chain that can't be split. Frames are a
+few numbers each; partitions are sorted by stream and frame, and a task carries four numbers from row to row, so no
+stream is held whole. Streams run side by side, and all that comes before runs frame by frame elsewhere.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHANNEL_BITS, MAX_QUALITY = 6144, 5000.0
@@ -24,38 +27,45 @@ def rate_control(sizes: DataFrame, channels: int, bit_rate: int, sample_rate: in
     cap = max(0, channels * CHANNEL_BITS - budget) if constant else 0
     bound = 4 * budget
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no")
-        fill, balance, quality, before, out = cap // 2, 0, start, 0, []
-        for bits in rows["bits"].tolist():
-            low = max(0, min(budget + fill - cap, budget + fill - 16)) if constant else 0
-            stuffed = max(0, low - bits)
-            sent = bits + stuffed
-            if constant:
-                fill = min(cap, max(0, fill + budget - sent))
-            target = int(0.99 * budget)
-            balance = min(bound, max(-bound, balance + target - bits))
-            aim, floored, capped = target + int(balance / 32), False, False
-            if constant:
-                floored = aim < budget + fill - cap
-                aim = min(max(aim, budget + fill - cap), budget + fill)
-                capped = bits > budget + fill
-            fix = aim / bits if bits > 0 else 1.0
-            share = 0.5 + 0.5 * balance / bound
-            if floored:
-                fix = min(fix, 1.5)
-            elif capped:
-                fix = max(fix, 0.5)
-            else:
-                fix = 1 + (fix - 1) * (0.6 if 0.25 <= share <= 0.75 else 0.85)
-            if fix > 1 and stuffed and before and bits <= before + before // 50:
-                fix = 1.0
-            before = bits if stuffed else 0
-            if abs(fix - 1) > 0.005:
-                quality *= fix if floored or capped else min(1.2, max(0.8, fix))
-            quality = min(MAX_QUALITY, max(1.0, quality))
-            out.append((sent, fill, balance, quality))
-        made = pd.DataFrame(out, columns=["sent", "fill", "balance", "quality"], index=rows.index)
-        return pd.concat([rows[["stream_id", "frame_no"]], made], axis=1)
-
-    return sizes.select("stream_id", "frame_no", "bits").groupBy("stream_id").applyInPandas(fold, FIELDS)
+    def step(state: tuple, bits: int) -> tuple:
+        fill, balance, quality, before, _ = state
+        low = max(0, min(budget + fill - cap, budget + fill - 16)) if constant else 0
+        stuffed = max(0, low - bits)
+        sent = bits + stuffed
+        if constant:
+            fill = min(cap, max(0, fill + budget - sent))
+        target = int(0.99 * budget)
+        balance = min(bound, max(-bound, balance + target - bits))
+        aim, floored, capped = target + int(balance / 32), False, False
+        if constant:
+            floored = aim < budget + fill - cap
+            aim = min(max(aim, budget + fill - cap), budget + fill)
+            capped = bits > budget + fill
+        fix = aim / bits if bits > 0 else 1.0
+        share = 0.5 + 0.5 * balance / bound
+        if floored:
+            fix = min(fix, 1.5)
+        elif capped:
+            fix = max(fix, 0.5)
+        else:
+            fix = 1 + (fix - 1) * (0.6 if 0.25 <= share <= 0.75 else 0.85)
+        if fix > 1 and stuffed and before and bits <= before + before // 50:
+            fix = 1.0
+        if abs(fix - 1) > 0.005:
+            quality *= fix if floored or capped else min(1.2, max(0.8, fix))
+        return fill, balance, min(MAX_QUALITY, max(1.0, quality)), bits if stuffed else 0, sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, state = None, None
+        for batch in batches:
+            out = []
+            for key, bits in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if state is None or key != stream:
+                    stream, state = key, (cap // 2, 0, start, 0, 0)
+                fill, balance, quality, _, sent = state = step(state, bits)
+                out.append((sent, fill, balance, quality))
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["stream_id", "frame_no", "sent", "fill", "balance", "quality"])
+
+    ordered = sizes.selectExpr("cast(stream_id as long) as stream_id", "cast(frame_no as long) as frame_no", "cast(bits as long) as bits").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    return ordered.mapInArrow(run, FIELDS)

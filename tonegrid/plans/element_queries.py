@@ -11,7 +11,9 @@ from ..operators import bands as B
 from ..operators import envelopes as E
 from ..operators import frames as W
 from ..operators.sections import PREDICTED_BANDS
+from ..sinks.containers import adts_chunks
 from ..sources.signals import PARAMS_SQL, line_samples, spectrum_pairs, stream_params, table
+from .coding_queries import payloads
 from .frame_queries import HE_SQL, LENGTH, LINES_SQL, SIZES_SQL, sizes
 from .frame_queries import ORACLE as FRAME_ORACLE
 
@@ -126,9 +128,28 @@ def tag_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", valid.alias("valid"), F.length(text).cast("long").alias("n_chars"), F.ascii(text).cast("long").alias("first_char"))
 
 
+def spanned_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship's block decisions with streams cut into spans of 8 frames: a decision depends on 6 frames before it
+    and one after."""
+    chain = lambda samples: W.block_types(W.wishes(W.attacks_he(W.sub_energies(samples, LENGTH))))
+    return W.over_spans(line_samples(spark, sf), chain, span=8 * LENGTH, back=6 * LENGTH, ahead=LENGTH, unit=LENGTH).select("stream_id", "frame_no", "wish", "block_type")
+
+
+def spanned_half_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Streams at half their rate, in spans of 256 samples with the filter's 62 before."""
+    found = W.over_spans(line_samples(spark, sf), W.decimate, span=256, back=62, ahead=0, unit=2, order="sample_no")
+    return found.withColumn("x", F.round("x", 4))
+
+
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's headed frames in chunks of 16: place in the stream's bytes, size and digest."""
+    found = adts_chunks(payloads(spark, sf), F.lit(0), F.lit(4), F.lit(2), span=16)
+    return found.select("stream_id", "chunk_no", "offset", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (element_grids, slot_envelopes, envelope_energies, common_windows, uneven_peak_rate, shared_groups, measured_bands, option_status, rate_layouts, tag_texts)
+    for f in (spanned_decisions, spanned_half_rate, stream_chunks, element_grids, slot_envelopes, envelope_energies, common_windows, uneven_peak_rate, shared_groups, measured_bands, option_status, rate_layouts, tag_texts)
 }
 
 GRID_SQL = f"""{LINES_SQL}, s AS (SELECT stream_id // 4 AS element_id, stream_id % 4 AS channel, sample_no // 64 AS frame_no, sample_no % 64 // 4 AS slot, sample_no % 4 AS pos, x FROM samples),
@@ -141,6 +162,11 @@ GRID_SQL = f"""{LINES_SQL}, s AS (SELECT stream_id // 4 AS element_id, stream_id
           FROM (SELECT DISTINCT element_id, frame_no FROM e) LEFT JOIN (SELECT * FROM v WHERE n = 1) USING (element_id, frame_no))"""
 
 ORACLE = {
+    "spanned_decisions": f"SELECT stream_id, frame_no, wish, block_type FROM ({FRAME_ORACLE['block_decisions']})",
+    "spanned_half_rate": FRAME_ORACLE["half_rate"],
+    "stream_chunks": """WITH f AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no, hex(encode(event_type)) AS h, length(event_type) + 7 AS n FROM events),
+        w AS (SELECT *, frame_no // 16 AS chunk_no, printf('FFF15080%02X%02XFC', n // 8, n % 8 * 32 + 31) || h AS w, sum(n) OVER (PARTITION BY stream_id ORDER BY frame_no) - n AS b FROM f)
+        SELECT stream_id, chunk_no, min(b)::BIGINT AS "offset", sum(n)::BIGINT AS bytes, md5(unhex(string_agg(w, '' ORDER BY frame_no))) AS digest FROM w GROUP BY 1, 2""",
     "element_grids": f"WITH {GRID_SQL} SELECT element_id, frame_no, round(strength, 6) AS strength, slot, envelopes, border FROM g",
     "slot_envelopes": f"""WITH {GRID_SQL}, e2 AS (SELECT element_id, frame_no, border, unnest(range(envelopes)) AS envelope FROM g)
         SELECT element_id, frame_no, envelope, greatest(1, len([i for i in range(0, 16, 2) if (i >= border)::INT = envelope])) AS sampled FROM e2""",

@@ -1,7 +1,7 @@
 """Coded frames as files: a stream with headers, or an MP4 file with its index.
 
-A file is in one piece, so a stream's frames meet in one row here, after all work on frames is done; streams are
-independent. What is returned is a table of contents, for any sink.
+Streams of any length are chunks with their byte offsets, which are prefix sums in two levels. For short streams there
+are whole files too, a row each; there a stream's frames meet in one row, after all work on frames is done.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import adts_header
@@ -27,6 +27,27 @@ def adts_streams(frames: DataFrame, mpeg2: Column, rate_index: Column, channels:
     return joined.select("stream_id", F.unhex(F.array_join(F.transform("f", lambda x: x.hex), "")).alias("content"))
 
 
+def frame_offsets(frames: DataFrame, span: int = 1024) -> DataFrame:
+    """Adds chunk_no and offset to frames (stream_id, frame_no, size): the bytes of all frames of the stream before. Sums
+    are made within ``span`` frames, and over the totals of spans."""
+    spanned = frames.withColumn("chunk_no", F.floor(F.col("frame_no") / span).cast("long"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    totals = spanned.groupBy("stream_id", "chunk_no").agg(F.sum("size").alias("total"))
+    starts = totals.select("stream_id", "chunk_no", F.coalesce(F.sum("total").over(before("stream_id").orderBy("chunk_no")), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("size").over(before("stream_id", "chunk_no").orderBy("frame_no")), F.lit(0))
+    return spanned.withColumn("inside", inside).join(starts, ["stream_id", "chunk_no"]).withColumn("offset", F.col("start") + F.col("inside")).drop("inside", "start")
+
+
+def adts_chunks(frames: DataFrame, mpeg2: Column, rate_index: Column, channels: Column, span: int = 1024) -> DataFrame:
+    """stream_id, chunk_no, offset and content: the headed frames of a stream in chunks of ``span`` frames, each with its
+    place in the stream's bytes, so that any number of tasks can write one stream."""
+    size = F.length("payload") + 7
+    whole = F.concat(adts_header(mpeg2, rate_index, channels, size, F.lit(0x7FF)), F.hex("payload"))
+    rows = frame_offsets(frames.withColumn("size", size.cast("long")), span)
+    chunks = rows.groupBy("stream_id", "chunk_no").agg(F.min("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("frame_no", whole.alias("hex")))).alias("f"))
+    return chunks.select("stream_id", "chunk_no", "offset", F.unhex(F.array_join(F.transform("f", lambda x: x.hex), "")).alias("content"))
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I", len(body) + 8) + kind + body

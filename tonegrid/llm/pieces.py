@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -123,28 +124,30 @@ class Encoder:
                 found.append(node[""])
         return found
 
-    def last_piece(self, word: str, j: int, states: list[tuple]) -> tuple:
-        """The forward state of word[:j]: the last piece and, for a unigram model, the score."""
+    def last_piece(self, word: str, j: int, lengths: array, scores: array) -> tuple[int, float]:
+        """The forward state of word[:j]: the length of its last piece and, for a unigram model, the score."""
         if self.v.kind == BPE:
             pairs = self.pairs
             for piece in reversed(self.endings(word, j)):
-                key = (states[j - len(piece)][0], piece)
+                i = j - len(piece)
+                key = (word[i - lengths[i] : i] if i else None, piece)
                 if (stands := pairs.get(key)) is None:
                     if len(pairs) >= CACHED_PAIRS:
                         pairs.clear()
                     stands = pairs[key] = self.stands(*key)
                 if stands:
-                    return piece, 0.0
-            return word[j - 1], 0.0
-        best = (word[j - 1], states[j - 1][1] + self.penalty)
+                    return len(piece), 0.0
+            return 1, 0.0
+        best = (1, scores[j - 1] + self.penalty)
         for piece in self.endings(word, j):
-            if (score := states[j - len(piece)][1] + self.v.scores[piece]) > best[1]:
-                best = (piece, score)
+            if (score := scores[j - len(piece)] + self.v.scores[piece]) > best[1]:
+                best = (len(piece), score)
         return best
 
     def sorted_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Sorted distinct words with their pieces. ``states[j]`` is the forward state of the first j characters."""
-        states: list[tuple] = [(None, 0.0)]
+        """Sorted distinct words with their pieces. ``lengths[j]`` and ``scores[j]`` are the forward state of the first
+        j characters: 12 bytes a character, also of a word without end."""
+        lengths, scores = array("I", [0]), array("d", [0.0])
         before = ""
         for word in words:
             n = 0
@@ -152,13 +155,15 @@ class Encoder:
                 if x != y:
                     break
                 n += 1
-            del states[n + 1 :]
+            del lengths[n + 1 :], scores[n + 1 :]
             for j in range(n + 1, len(word) + 1):
-                states.append(self.last_piece(word, j, states))
+                length, score = self.last_piece(word, j, lengths, scores)
+                lengths.append(length)
+                scores.append(score)
             pieces, j = [], len(word)
             while j:
-                pieces.append(states[j][0])
-                j -= len(pieces[-1])
+                pieces.append(word[j - lengths[j] : j])
+                j -= lengths[j]
             yield word, pieces[::-1]
             before = word
 

@@ -88,7 +88,7 @@ def measured_bands(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda b: F.struct(b.sfb.alias("sfb"), b.lo.alias("lo"), b.hi.alias("hi"), B.total(part("mid", b)).alias("energy"), F.array_max(part("mid", b)).alias("peak"), B.total(part("left", b)).alias("el"), B.total(part("right", b)).alias("er"))
     bands = pairs.select("pair_no", F.explode_outer(F.transform(B.band_list(B.EDGES_64), one)).alias("b")).select("pair_no", "b.*")
     found = B.measured(bands.withColumns({"windows": F.lit(1), "ms": (F.col("pair_no") + F.col("sfb")) % 2 == 0}), cutoff=40)
-    return found.select("pair_no", "sfb", F.round("coded_energy", 4).alias("energy"), F.round("coded_peak", 4).alias("peak"))
+    return found.select("pair_no", "sfb", F.round("coded_energy", 2).alias("energy"), F.round("coded_peak", 2).alias("peak"))
 
 
 #: Options drawn from the columns of orders, for Spark; the SQL below says the same.
@@ -194,7 +194,7 @@ ORACLE = {
         s AS (SELECT pair_no, sfb, lo, hi, sum(m * m) AS e, max(m * m) AS peak, sum(l * l) AS el, sum(r * r) AS er
               FROM x JOIN (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(B.EDGES_64, B.EDGES_64[1:])))}) v(sfb, lo, hi) ON line >= lo AND line < hi GROUP BY ALL),
         c AS (SELECT *, (pair_no + sfb) % 2 = 0 AND el > 0 AND e >= 0.16 * (hi - lo) AS ms FROM s)
-        SELECT pair_no, sfb, round(CASE WHEN lo >= 40 THEN 0 WHEN ms THEN least(el, er) / 2 ELSE e END, 4) AS energy, round(CASE WHEN lo >= 40 THEN 0 WHEN ms THEN peak * (least(el, er) / 2) / e ELSE peak END, 4) AS peak FROM c""",
+        SELECT pair_no, sfb, round(CASE WHEN lo >= 40 THEN 0 WHEN ms THEN least(el, er) / 2 ELSE e END, 2) AS energy, round(CASE WHEN lo >= 40 THEN 0 WHEN ms THEN peak * (least(el, er) / 2) / e ELSE peak END, 2) AS peak FROM c""",
     "option_status": """WITH p AS (SELECT o_orderkey AS stream_id, o_custkey % 6 + 1 AS channels, o_custkey % 7 = 3 AS no_control, o_orderkey % 9 = 4 AS no_output, o_orderkey % 7 = 6 AS no_input, o_orderkey % 13 = 0 AS used,
               CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 2 THEN range(1, o_custkey % 6 + 2) WHEN 3 THEN range(0, o_custkey % 6) ELSE range(0, o_custkey % 6 + 1) END AS map FROM orders)
         SELECT stream_id, CASE WHEN no_control OR no_output OR no_input OR used OR len(map) < channels OR len([x for x in map if x < 0 OR x >= channels]) > 0 THEN 'invalid' ELSE 'ok' END AS status FROM p""",

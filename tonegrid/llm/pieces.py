@@ -92,6 +92,7 @@ class Encoder:
         self.penalty = min(vocabulary.scores.values(), default=0.0) - 10
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
+        self.chars: dict[str, str] = {}  # one string for each character that is no piece
 
     def merged(self, text: str) -> list[str]:
         """What BPE makes of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -124,30 +125,29 @@ class Encoder:
                 found.append(node[""])
         return found
 
-    def last_piece(self, word: str, j: int, lengths: array, scores: array) -> tuple[int, float]:
-        """The forward state of word[:j]: the length of its last piece and, for a unigram model, the score."""
+    def last_piece(self, word: str, j: int, last: list[str | None], scores: array) -> tuple[str, float]:
+        """The forward state of word[:j]: its last piece and, for a unigram model, the score."""
         if self.v.kind == BPE:
             pairs = self.pairs
             for piece in reversed(self.endings(word, j)):
-                i = j - len(piece)
-                key = (word[i - lengths[i] : i] if i else None, piece)
+                key = (last[j - len(piece)], piece)
                 if (stands := pairs.get(key)) is None:
                     if len(pairs) >= CACHED_PAIRS:
                         pairs.clear()
                     stands = pairs[key] = self.stands(*key)
                 if stands:
-                    return len(piece), 0.0
-            return 1, 0.0
-        best = (1, scores[j - 1] + self.penalty)
+                    return piece, 0.0
+            return self.chars.setdefault(word[j - 1], word[j - 1]), 0.0
+        best = (self.chars.setdefault(word[j - 1], word[j - 1]), scores[j - 1] + self.penalty)
         for piece in self.endings(word, j):
             if (score := scores[j - len(piece)] + self.v.scores[piece]) > best[1]:
-                best = (len(piece), score)
+                best = (piece, score)
         return best
 
     def sorted_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Sorted distinct words with their pieces. ``lengths[j]`` and ``scores[j]`` are the forward state of the first
-        j characters: 12 bytes a character, also of a word without end."""
-        lengths, scores = array("I", [0]), array("d", [0.0])
+        """Sorted distinct words with their pieces. ``last[j]`` and ``scores[j]`` are the forward state of the first j
+        characters: 16 bytes a character, also of a word without end, as pieces are the vocabulary's own strings."""
+        last, scores = [None], array("d", [0.0])
         before = ""
         for word in words:
             n = 0
@@ -155,15 +155,15 @@ class Encoder:
                 if x != y:
                     break
                 n += 1
-            del lengths[n + 1 :], scores[n + 1 :]
+            del last[n + 1 :], scores[n + 1 :]
             for j in range(n + 1, len(word) + 1):
-                length, score = self.last_piece(word, j, lengths, scores)
-                lengths.append(length)
+                piece, score = self.last_piece(word, j, last, scores)
+                last.append(piece)
                 scores.append(score)
             pieces, j = [], len(word)
             while j:
-                pieces.append(word[j - lengths[j] : j])
-                j -= lengths[j]
+                pieces.append(last[j])
+                j -= len(last[j])
             yield word, pieces[::-1]
             before = word
 

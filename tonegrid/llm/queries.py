@@ -15,6 +15,7 @@ from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
 from .source_mix import GOLDEN, mix_sources
 from .token_counts import length_histogram, ranks, token_lengths
+from .top_k import top_k
 from .url_filter import LIMIT, filter_urls, vocabulary
 
 #: Where the public tokenizers' vocabulary files are.
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
+    "op13_top_k": op13_top_k,
 }
 
 ORACLE = {
@@ -189,4 +195,13 @@ ORACLE = {
         SELECT d.doc_id, coalesce((SELECT count(*) FROM worded x WHERE x.doc_id = d.doc_id), 0) AS n_lines, coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id), 0) AS n_removed,
                sha256(coalesce(clean, '')) AS clean_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op13_top_k": """
+        WITH v AS (
+            SELECT vec_id, row_number() OVER () AS r, [floor(64 * x::DOUBLE) for x in embedding] AS c FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ), p AS (
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.c, c.c)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p) WHERE rank <= 20""",
 }

@@ -1,11 +1,16 @@
 """Top-k search, resampling and alignment of tokenizers against brute force."""
 
+import hashlib
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonegrid.llm.resample import Dictionary, Shifts, resample
 from tonegrid.llm.top_k import top_k
 
 
@@ -48,3 +53,57 @@ def test_top_k_of_odd_vectors(spark):
     large = [(i, [float(3 * i * 10**k) for k in (4, 6, 8)]) for i in range(12)]
     assert searched(spark, large, k=3, block_rows=5) == brute_top_k(large, lambda q: q % 5 == 0, 3, 64.0)
     assert searched(spark, []) == [] and searched(spark, [(5, [1.0])]) == [] and searched(spark, [(1, [1.0])]) == []
+
+
+def brute_resample(docs, target, percent, least, buckets, order, seed):
+    def words(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    def features(text):
+        ws = words(text)
+        return [zlib.crc32(" ".join(ws[i : i + m]).encode()) % buckets for m in range(1, order + 1) for i in range(len(ws) - m + 1)]
+
+    s, t = (Counter(b for x in texts for b in features(x)) for texts in ([x for _, x in docs], target))
+    S, T = s.total(), t.total()
+    rows = []
+    for i, text in docs:
+        f = features(text)
+        total = sum(math.floor(1000 * math.log((t[b] + 1) * (S + buckets) / ((s[b] + 1) * (T + buckets)))) for b in f)
+        weight = total // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words(text)) >= least])
+    fit = sorted((r for r in rows if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    for k, r in enumerate(fit[: len(fit) * percent // 100]):
+        r[4] = k + 1
+    return sorted((tuple(r[:5]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("order,percent", [(1, 10), (2, 50), (3, 100)])
+def test_resample(spark, order, percent):
+    some = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    odd = [None, "", " \t--", "A", "Ünï CÖDÉ 你好 x1y2 [a]^b_`c\x7fd\x00e", "İI ſ K", "the The THE " * 3000, "w" * 5000 + " z", "😀 a b"]
+    docs = list(enumerate(some + odd)) + [(None, "a b c " * 10), (3, some[3]), (3, some[3])]
+    target = [*some[:3], "the a b c", None, ""]
+    frame = spark.createDataFrame([(i, x, 0.5, 1, "b") for i, x in docs], "doc_id long, text string, score double, rank int, bucket string").repartition(3)
+    goal = spark.createDataFrame([(x, 2) for x in target], "text string, n int")
+    got = resample(frame, goal, percent=percent, least_words=5, buckets=500, order=order, seed=7)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_resample(docs, target, percent, 5, 500, order, 7)
+    assert resample(frame.limit(0), goal).count() == 0
+    assert {r.weight for r in resample(frame, goal.limit(0), order=order).collect()} != set()
+
+
+def test_dictionary_changes_nothing():
+    """Features are the same while the dictionary is empty, learns, and is full."""
+    rng = np.random.default_rng(1)
+    own = [Dictionary(m) for m in (0, 50, 100_000)]
+    for turn in range(30):
+        texts = [" ".join(f"w{int(x)}é" for x in rng.zipf(1.3, 200) % 5000).encode() for _ in range(20)] + [None, b"", b"--"]
+        expected = sorted(zlib.crc32(" ".join(ws[i : i + m]).encode()) for ws in ((t or b"").decode().split() for t in texts) if ws != ["--"] for m in (1, 2) for i in range(len(ws) - m + 1))
+        for d in own:
+            assert sorted(d.features(texts, 2)[0].tolist()) == expected
+    assert own[0].automaton is None and len(own[1].ids) == 50 and len(own[2].ids) > 1000
+    shift = Shifts()
+    a, b = b"left part", b"0123456789" * 70_001
+    assert (shift(np.array([zlib.crc32(a)], np.uint32), np.array([len(b)])) ^ np.uint32(zlib.crc32(b)))[0] == zlib.crc32(a + b)

@@ -13,6 +13,7 @@ from .line_dedup import clean_lines
 from .near_dedup import near_dedup
 from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
+from .resample import resample
 from .source_mix import GOLDEN, mix_sources
 from .token_counts import length_histogram, ranks, token_lengths
 from .top_k import top_k
@@ -71,6 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, buckets=10_000, order=1, seed=2024)
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
+    "op11_resample": op11_resample,
     "op13_top_k": op13_top_k,
 }
 
@@ -195,6 +201,33 @@ ORACLE = {
         SELECT d.doc_id, coalesce((SELECT count(*) FROM worded x WHERE x.doc_id = d.doc_id), 0) AS n_lines, coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id), 0) AS n_removed,
                sha256(coalesce(clean, '')) AS clean_sha256
         FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op11_resample": r"""
+        WITH table_of AS (
+            SELECT [list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) for b in range(256)] AS steps
+        ), texts AS (
+            SELECT false AS goal, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark
+        ), worded AS (
+            SELECT goal, doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+        ), own AS (
+            SELECT goal, r, unnest(ws) AS w FROM worded
+        ), bytes AS (
+            SELECT w, [('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT for i in range(octet_length(encode(w)))] AS bs FROM (SELECT DISTINCT w FROM own)
+        ), hashed AS (
+            SELECT w, xor(list_reduce(bs, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM bytes, table_of
+        ), counts AS (
+            SELECT bucket, count(*) FILTER (WHERE NOT goal)::DOUBLE AS s, count(*) FILTER (WHERE goal)::DOUBLE AS t FROM own JOIN hashed USING (w) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM counts
+        ), weights AS (
+            SELECT r, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM own JOIN hashed USING (w) JOIN gains USING (bucket) WHERE NOT goal GROUP BY r
+        ), scores AS (
+            SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM worded d LEFT JOIN weights USING (r) WHERE NOT goal
+        ), ranked AS (
+            SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scores
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM ranked""",
     "op13_top_k": """
         WITH v AS (
             SELECT vec_id, row_number() OVER () AS r, [floor(64 * x::DOUBLE) for x in embedding] AS c FROM embeddings

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.llm.resample import Dictionary, Shifts, resample
+from tonegrid.llm.token_align import Aligner, ByteLevel, Fragment, PieceModel, Tokens, alignment_report, spans
 from tonegrid.llm.top_k import top_k
 
 
@@ -107,3 +109,96 @@ def test_dictionary_changes_nothing():
     shift = Shifts()
     a, b = b"left part", b"0123456789" * 70_001
     assert (shift(np.array([zlib.crc32(a)], np.uint32), np.array([len(b)])) ^ np.uint32(zlib.crc32(b)))[0] == zlib.crc32(a + b)
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    from tonegrid.llm.queries import TOKENIZERS
+
+    return ByteLevel.load(f"{TOKENIZERS}/byte_bpe_50k.json", public_tokenizers.PATTERN), PieceModel.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def brute_alignment(docs, tokenizers):
+    """Rows of the report, with the libraries' tokens and all pairs of them."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from tonegrid.llm.queries import TOKENIZERS
+
+    first, second = tokenizers
+    lib_a = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    lib_a.encode_special_tokens = True
+    lib_b = SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    text_of = {i: t for t, i in first.ids.items()}
+    rows, held = [], Counter()
+    for i, text in docs:
+        a = lib_a.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = lib_b.encode(text) if text else []
+        whole = (" " + text).encode() if text else b""
+        if b"".join(text_of[x] for x in a) != whole or b"".join(second.vocabulary.texts[x] for x in b) != whole:
+            a, b = [], []
+        ends_a, ends_b = np.cumsum([len(text_of[x]) for x in a]).tolist(), np.cumsum([len(second.vocabulary.texts[x]) for x in b]).tolist()
+        groups, p, q = [], 0, 0
+        for end in sorted({*ends_a} & {*ends_b}):
+            u, v = ends_a.index(end) + 1, ends_b.index(end) + 1
+            groups.append((a[p:u], b[q:v]))
+            p, q = u, v
+        links = Counter((x, y) for s, e, x in zip([0, *ends_a], ends_a, a) for t, f, y in zip([0, *ends_b], ends_b, b) if s < f and t < e)
+        held.update(links.keys())
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        rows.append((i, len(a), len(b), len(groups), links, hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    most = Counter()
+    for (x, _), n in held.items():
+        most[x] = max(most[x], n)
+    return sorted(((i, na, nb, ng, sum(links.values()), sum(m for k, m in links.items() if held[k] == most[k[0]]), sum(m * held[k] for k, m in links.items()), sha) for i, na, nb, ng, links, sha in rows), key=str)
+
+
+ODD_TEXTS = [None, "", " ", "  two  spaces \n\t x", "a▁b", "<|endoftext|> <s></s>", "你好世界 — ünïcödé 😀👍🏽", "x" * 900, "\x00\x1f  z", "1234567 ''s 'll don't", "é" * 700 + " b", "ﷺﬁ Å"]
+
+
+@pytest.mark.parametrize("span,frequent", [(1 << 17, 200_000), (60, 30), (1, 0)])
+def test_alignment(spark, tokenizers, span, frequent):
+    some = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500").limit(25).collect()]
+    docs = list(enumerate(ODD_TEXTS + some)) + [(None, "the cat"), (7, some[0]), (7, some[0])]
+    frame = spark.createDataFrame([(i, t, 1, "s") for i, t in docs], "doc_id long, text string, part int, span string").repartition(3)
+    got = alignment_report(frame, *tokenizers, span=span, frequent=frequent)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_alignment(docs, tokenizers)
+    assert alignment_report(frame.limit(0), *tokenizers, span=span).count() == 0
+
+
+def test_fragments_compose_in_any_order(tokenizers):
+    """Ranges of bytes anywhere, tokens of both sides across their borders, composed from either end and in a tree."""
+    own, rng = Aligner(*tokenizers), np.random.default_rng(3)
+    for text in [x for x in ODD_TEXTS if x and "▁" not in x] + ["Many unbelievably long-winded sentences, 123456 of them; naïve café. " * 6]:
+        a, b = own.tokens([" " + text])[0]
+        a, b = (Tokens(np.array(x), lengths[x]) for x, lengths in ((a, own.lengths_a), (b, own.lengths_b)))
+        ends_a, ends_b = a.lengths.cumsum(), b.lengths.cumsum()
+        want = own.whole(own.fragment(a, b, ends_a, ends_b))
+        for _ in range(5):
+            borders = [0, *sorted(rng.integers(0, ends_a[-1] + 1, 7)), ends_a[-1]]
+            parts = []
+            for lo, hi in zip(borders, borders[1:]):
+                (a1, a2), (b1, b2) = (np.searchsorted(e, [lo, hi], side="right") for e in (ends_a, ends_b))
+                parts.append(own.fragment(a[a1:a2], b[b1:b2], ends_a[a1:a2], ends_b[b1:b2]))
+            tree = parts
+            while len(tree) > 1:
+                tree = [own.compose(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
+            left = right = Fragment()
+            for x, y in zip(parts, reversed(parts)):
+                left, right = own.compose(left, x), own.compose(y, right)
+            for x in (tree[0], left, right):
+                got = own.whole(x)
+                assert (got.n, got.text, got.pairs.tolist(), got.times.tolist()) == (want.n, want.text, want.pairs.tolist(), want.times.tolist())
+
+
+def test_spans_keep_tokens(tokenizers):
+    own = Aligner(*tokenizers)
+    text = "One two  three\n four 5 six-seven don't stop 你好 x▁ y " * 8
+    text = text.replace("▁", "")
+    whole = own.tokens([" " + text])[0]
+    for most in (1, 10, 50):
+        parts = spans(text, most)
+        assert "".join(parts) == " " + text and len(parts) > 3
+        got = [own.tokens([x])[0] for x in parts]
+        assert tuple(sum((x[k] for x in got), []) for k in (0, 1)) == whole

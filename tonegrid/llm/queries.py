@@ -15,6 +15,7 @@ from .pieces import Vocabulary, encoding_report
 from .quality_rules import quality_rules
 from .resample import resample
 from .source_mix import GOLDEN, mix_sources
+from .token_align import ByteLevel, PieceModel, alignment_report
 from .token_counts import length_histogram, ranks, token_lengths
 from .top_k import top_k
 from .url_filter import LIMIT, filter_urls, vocabulary
@@ -76,6 +77,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, buckets=10_000, order=1, seed=2024)
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = ByteLevel.load(f"{TOKENIZERS}/byte_bpe_50k.json", public_tokenizers.PATTERN), PieceModel.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return alignment_report(documents(spark, sf_dir), first, second)
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
     "op11_resample": op11_resample,
+    "op12_token_align": op12_token_align,
     "op13_top_k": op13_top_k,
 }
 

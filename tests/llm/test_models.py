@@ -269,3 +269,18 @@ def test_summaries_hand_on_what_is_too_much():
             for k, w, n in zip(*(c.to_pylist() for c in b.columns)):
                 found[k, w] += n
         assert found == want
+
+
+def test_quality_rules_without_lang(spark):
+    """A table without that column is as one where it is null."""
+    docs = frame(spark, ODD)
+    rules = lambda df: sorted(map(str, quality_rules(df).collect()))
+    assert rules(docs.drop("lang")) == rules(docs.withColumn("lang", F.lit(None).cast("string")))
+    kept = accepted(docs.drop("lang"))
+    assert kept.columns == docs.drop("lang").columns and kept.count() == accepted(docs.withColumn("lang", F.lit(None).cast("string"))).count()
+
+
+def test_tables_of_references_have_a_bound(monkeypatch):
+    monkeypatch.setattr(language_id, "NEW", 1000)
+    with pytest.raises(ValueError, match="table cells"):
+        language_id.Parser(language_id.References({"a": "some words of text " * 9, "b": "andere worte " * 9}))

@@ -122,6 +122,8 @@ def references(docs: DataFrame, top: int = 32, counters: int = 4096, languages:
     the driver gets has a fixed bound: 2 * top words and their sums, and N_CLASSES + 1 more, for each. Candidates for the
     common words, the 2 * top that occur most, come from mergeable summaries that hold
     every word with over 2 / counters of a language's words; their shares are exact and cover all documents."""
+    if "lang" not in docs.columns:
+        return References(np.empty((0, N_CLASSES)), [], [], [])  # as where every lang is null
     texts = docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     found = texts.mapInArrow(lambda it: summaries(it, counters), "lang string, word binary, least long").groupBy("lang", "word").agg(F.sum("least").alias("least"))
     found = cut(found, "summaries")  # texts are summarised once
@@ -235,5 +237,5 @@ def accepted(docs: DataFrame, **limits: float) -> DataFrame:
     equal rows all stay or all go."""
     own = [f"__{i}" for i in range(len(docs.columns))]
     judged = docs.select([F.col(quoted(c)).cast("string" if c == "text" else docs.schema[c].dataType).alias(x) for c, x in zip(docs.columns, own)])
-    kept = quality_rules(judged, keep=own, refs=references(docs), text=own[docs.columns.index("text")], lang=own[docs.columns.index("lang")], **limits).where("kept")
+    kept = quality_rules(judged, keep=own, refs=references(docs), text=own[docs.columns.index("text")], lang=own[docs.columns.index("lang")] if "lang" in docs.columns else None, **limits).where("kept")
     return kept.select([F.col(x).alias(c) for x, c in zip(own, docs.columns)])

@@ -40,7 +40,8 @@ UNIGRAM, BPE = 1, 2
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces that text can match with their ids and scores, ids of the 256 byte pieces (or none), the unknown id."""
+    """Pieces that text can match with their ids and scores, ids of the 256 byte pieces (or none), the unknown id, and
+    pieces of a BPE model that its users defined: they are taken out of a text before anything merges."""
 
     kind: int
     ids: dict[str, int]
@@ -49,6 +50,7 @@ class Vocabulary:
     unknown: int
     texts: list[bytes] = field(repr=False)
     name: str = ""
+    defined: tuple[str, ...] = ()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -63,11 +65,18 @@ class Vocabulary:
         if norm.precompiled_charsmap or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or model.trainer_spec.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models without text normalisation are supported")
         kinds = type(model.pieces[0])
-        ids, scores, byte_ids, unknown, texts = {}, {}, [], 0, []
+        highest = max([0.0, *(p.score for p in model.pieces if p.type == kinds.NORMAL)])  # as the library has it
+        ids, scores, byte_ids, unknown, texts, defined = {}, {}, [], 0, [], []
         for i, p in enumerate(model.pieces):
             texts.append(p.piece.replace(MARK, " ").encode())
             if p.type in (kinds.NORMAL, kinds.USER_DEFINED):
-                ids[p.piece], scores[p.piece] = i, p.score
+                ids[p.piece] = i
+                if p.type == kinds.NORMAL:
+                    scores[p.piece] = p.score
+                elif model.trainer_spec.model_type == BPE:
+                    defined.append(p.piece)
+                else:  # of pieces that users defined few, long ones win
+                    scores[p.piece] = highest * len(p.piece) - 0.1
             elif p.type == kinds.BYTE:
                 byte_ids.append(i)
                 texts[i] = bytes([int(p.piece[3:5], 16)])
@@ -76,7 +85,7 @@ class Vocabulary:
                 unknown = i if p.type == kinds.UNKNOWN else unknown
         if any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("a piece has a mark inside, so words can't be encoded apart")
-        return cls(model.trainer_spec.model_type, ids, scores, tuple(byte_ids), unknown, texts, hashlib.sha256(raw).hexdigest())
+        return cls(model.trainer_spec.model_type, ids, scores, tuple(byte_ids), unknown, texts, hashlib.sha256(raw).hexdigest(), tuple(defined))
 
 
 class Encoder:
@@ -84,7 +93,7 @@ class Encoder:
         self.v = vocabulary
         # pieces by their characters from the last to the first: what may end a prefix is found in one walk back
         self.back: dict = {}
-        for piece in vocabulary.ids:
+        for piece in vocabulary.scores:
             node = self.back
             for c in reversed(piece):
                 node = node.setdefault(c, {})
@@ -93,6 +102,8 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
         self.chars: dict[str, str] = {}  # one string for each character that is no piece
+        longest = sorted(vocabulary.defined, key=len, reverse=True)
+        self.taken_out = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def merged(self, text: str) -> list[str]:
         """What BPE makes of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -178,11 +189,19 @@ class Encoder:
                 out.append(self.v.unknown)
         return out
 
+    def split(self, marked: str) -> list[str]:
+        """The words of a text, and the pieces that its model's users defined (the longest that fits, from left to right)."""
+        if not self.taken_out:
+            return WORDS.findall(marked)
+        parts = self.taken_out.split(marked)
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else WORDS.findall(part))]
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [WORDS.findall(MARK + t.decode().replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.split(MARK + t.decode().replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words = {}
         words = self.words
+        words |= {p: np.array([self.v.ids[p]], np.int32).tobytes() for p in self.v.defined}
         new = sorted({w for own in split for w in own if w not in words})
         for word, pieces in self.sorted_words(new):
             words[word] = np.array(self.piece_ids(pieces), np.int32).tobytes()

@@ -130,6 +130,8 @@ class Parser:
             tables.append(table.astype(np.int32).ravel())
             self.roots.append(base * self.size)
             base += len(go)
+            if base * self.size >= NEW:
+                raise ValueError(f"the references' automata take {base * self.size} table cells; {NEW} is the most")
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int32)
         keys, nexts = np.concatenate(keys), np.concatenate(nexts)
         order = np.argsort(keys)

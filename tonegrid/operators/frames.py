@@ -12,6 +12,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 SUB_BLOCKS = 8
 LONG, LONG_SHORT, SHORT, SHORT_LONG = 0, 1, 2, 3
 
@@ -180,20 +182,29 @@ def peak_rate(sizes: DataFrame, sample_rate: int, frame_samples: int) -> DataFra
 def kept_peak_rate(sizes: DataFrame, sample_rate: int) -> DataFrame:
     """stream_id and the largest bit rate over windows of frames of any durations. sizes: stream_id, frame_no, size and
     duration. Frames shorter than the longest before them are left out; a window takes frames until it lasts a second
-    and the next one starts anew, so windows depend on all frames before and are folded over each stream's frames, two
-    numbers a frame."""
-    longest = F.max("duration").over(by_stream("frame_no").rowsBetween(Window.unboundedPreceding, 0))
-    kept = sizes.withColumn("longest", longest).where("duration = longest")
-    acc = "struct<size: bigint, lasts: bigint, most: bigint>"
-
-    def step(s: Column, r: Column) -> Column:
-        size, lasts = s["size"] + r["size"], s.lasts + r.duration
-        full = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lasts"), F.greatest(s.most, F.floor(size * 8 * sample_rate / lasts)).alias("most"))
-        return F.when(lasts >= sample_rate, full.cast(acc)).otherwise(F.struct(size.alias("size"), lasts.alias("lasts"), s.most.alias("most")).cast(acc))
-
-    rows = kept.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "size", "duration"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("lasts"), F.lit(0).alias("most")).cast(acc)
-    return rows.select("stream_id", F.aggregate("rows", start, step, lambda s: s.most).alias("peak_rate"))
+    and the next one starts anew.
+
+    Where a window that starts at a frame ends is a look ahead in the running durations, for every frame at once. Which
+    frames start windows follows by pointer doubling: from the first frame on, so many windows ahead are known after each
+    round as before it, and the pointers jump twice as far. Rounds are the logarithm of a stream's windows, and frames are
+    rows throughout."""
+    w = by_stream("frame_no")
+    before = lambda column: F.coalesce(F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = sizes.withColumn("longest", F.max("duration").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("duration = longest")
+    kept = kept.select("stream_id", "frame_no", "size", "duration", (F.row_number().over(w) - 1).cast("long").alias("k"), before("duration").alias("at"), before("size").alias("bytes"))
+    ends = kept.groupBy("stream_id").agg(F.count(F.lit(1)).alias("k"), F.sum("duration").alias("at"), F.sum("size").alias("bytes"))
+    places = cut(kept.select("stream_id", "k", "at", "bytes", "duration").unionByName(ends.withColumn("duration", F.lit(0))))
+    step = places.agg(F.max("duration")).first()[0] or 0  # the next place is at most so far beyond a second
+    ahead = Window.partitionBy("stream_id").orderBy("at").rangeBetween(sample_rate, sample_rate + step)
+    found = places.withColumn("next", F.min(F.struct("k", "at", "bytes")).over(ahead)).where("next is not null")
+    rate = F.floor((F.col("next.bytes") - F.col("bytes")) * 8 * sample_rate / (F.col("next.at") - F.col("at")))
+    windows = cut(found.select("stream_id", "k", F.col("next.k").alias("to"), rate.alias("rate")))
+    starts, jumps = windows.where("k = 0").select("stream_id", "k"), windows.select("stream_id", "k", "to")
+    while not jumps.isEmpty():
+        starts = cut(starts.union(starts.join(jumps, ["stream_id", "k"]).select("stream_id", F.col("to").alias("k"))))
+        jumps = cut(jumps.join(jumps.select("stream_id", F.col("k").alias("to"), F.col("to").alias("beyond")), ["stream_id", "to"]).select("stream_id", "k", F.col("beyond").alias("to")))
+    best = windows.join(starts, ["stream_id", "k"]).groupBy("stream_id").agg(F.max("rate").alias("rate"))
+    return ends.select("stream_id").join(best, "stream_id", "left").select("stream_id", F.coalesce("rate", F.lit(0)).alias("peak_rate"))
 
 
 def common_windows(frames: DataFrame) -> DataFrame:

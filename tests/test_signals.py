@@ -11,13 +11,38 @@ from tonegrid.functions import bits as X
 from tonegrid.operators import frames as W
 from tonegrid.operators import transforms as T
 from tonegrid.operators.rate import rate_control
-from tonegrid.operators.sections import LARGEST, cheapest_sections, direct_form, fixed_length_costs, predicted, reflection, with_band_range
+from tonegrid.operators.prediction import predicted, with_band_range
+from tonegrid.operators.sections import LARGEST, cheapest_sections, fixed_length_costs
 from tonegrid.sinks.containers import adts_streams, mp4_file, mp4_files
 from tonegrid.sources import pcm
 from tonegrid.sources.wav import Layout, file_frames, parse
 from tonegrid.streaming.live import live_frames
 
 
+def reflection(lags):
+    """Coefficients and gains of rows of autocorrelations, row by row in plain loops."""
+    ks, gains = [], []
+    for row in lags:
+        a, error, own = [1.0], row[0], []
+        for i in range(1, len(row)):
+            k = 0.0 if error == 0 else max(-0.999, min(0.999, -sum(a[j] * row[i - j] for j in range(i)) / error))
+            a = [x + k * y for x, y in zip([*a, 0.0], [0.0, *a[::-1]])]
+            own, error = [*own, k], error * (1 - k * k)
+        ks.append(own)
+        gains.append(row[0] / error if error > 0 else np.inf)
+    return np.array(ks), np.array(gains)
+
+
+def direct_form(ks):
+    out = []
+    for row in ks:
+        a = [1.0]
+        for k in row:
+            a = [x + k * y for x, y in zip([*a, 0.0], [0.0, *a[::-1]])]
+        out.append(a[1:])
+    return np.array(out)
+
+
 def samples(spark, values, parts=3, stream=1):
     return spark.createDataFrame([(stream, i, float(x)) for i, x in enumerate(values)], "stream_id long, sample_no long, x double").repartition(parts)
 

@@ -1,12 +1,8 @@
-"""Codebook sections and prediction: small searches along a frame's bands, folded in the row."""
+"""Codebook sections: a small search along a frame's bands, folded in the row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The largest magnitude that each codebook holds, by number; the first holds only zeros, the last any.
@@ -33,106 +29,3 @@ def cheapest_sections(costs: Column, header: int) -> Column:
     # before the first band no book is open: every one costs its header
     start = F.transform(F.get(costs, F.lit(0)), lambda _: F.lit(header))
     return F.aggregate(costs, start, step, lambda s: low(s))
-
-
-def reflection(lags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Reflection coefficients (within 0.999) and prediction gain of rows of autocorrelations at lags 0 to p, all rows
-    at once. The gain of a row without energy, or that fits perfectly, is infinite."""
-    n, p = len(lags), lags.shape[1] - 1
-    error, a, k = lags[:, 0].astype(float).copy(), np.zeros((n, p + 1)), np.zeros((n, p))
-    a[:, 0] = 1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for i in range(1, p + 1):
-            value = -(a[:, :i] * lags[:, i:0:-1]).sum(1) / error
-            k[:, i - 1] = np.clip(np.where(np.isfinite(value), value, 0), -0.999, 0.999)
-            a[:, 1 : i + 1] += k[:, i - 1, None] * a[:, :i][:, ::-1].copy()
-            error = error * (1 - k[:, i - 1] ** 2)
-        gain = np.where(error > 0, lags[:, 0] / error, np.inf)
-    return k, gain
-
-
-def direct_form(k: np.ndarray) -> np.ndarray:
-    """Filter taps 1 to p of reflection coefficients (rows)."""
-    a = np.zeros((len(k), k.shape[1] + 1))
-    a[:, 0] = 1
-    for i in range(1, k.shape[1] + 1):
-        before = a[:, :i].copy()
-        a[:, 1 : i + 1] += k[:, i - 1, None] * before[:, ::-1]
-    return a[:, 1:]
-
-
-#: Bands that a predictor covers (first, and the one past the last) by rate index, in the format's own band layouts.
-PREDICTED_BANDS = ((11, 31), (12, 31), (15, 34), (16, 40), (17, 42), (20, 51), (25, 46), (26, 46), (24, 42), (28, 42), (30, 42), (31, 39))
-#: Energy and RMS under which a band is silent; flatness of bands' RMS over which a spectrum is noise; the share of the
-#: loudest band's RMS that the others count with at least.
-SILENT, NOISE, FLOOR = 1e-9, 0.85, 0.01
-
-
-def with_band_range(spectra: DataFrame, rate_index: Column, n_bands: int, ranges: Sequence[tuple[int, int]] = PREDICTED_BANDS) -> DataFrame:
-    """spectra with first_band and past_band by their rate index, within ``n_bands``; rows of other rates have nulls."""
-    rows = [(i, min(lo, n_bands), min(hi, n_bands)) for i, (lo, hi) in enumerate(ranges)]
-    bands = spectra.sparkSession.createDataFrame(rows, "__rate int, first_band int, past_band int")
-    return spectra.join(F.broadcast(bands), rate_index == F.col("__rate"), "left").drop("__rate")
-
-
-def weighed(x: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of lines with each band divided by its RMS, and which rows are noise by their bands' flatness."""
-    width = np.diff(edges)
-    rms = np.sqrt(np.add.reduceat(x**2, edges[:-1] - edges[0], axis=1) / width)
-    heard = np.maximum(rms, SILENT)
-    flat = np.exp(np.log(heard).mean(1)) / heard.mean(1) > NOISE
-    return x / np.repeat(np.maximum(rms, np.maximum(rms.max(1, keepdims=True) * FLOOR, SILENT)), width, axis=1), flat
-
-
-def predicted(spectra: DataFrame, keep: list[str], order: int = 8, least_gain: float = 1.4, edges: Sequence[int] | None = None) -> DataFrame:
-    """For each spectrum that a predictor along the lines helps, the columns ``keep``, gain, k (quantized to 4 bits and
-    restored), kept_gain (what those leave), filter_order, length (bands declared, to the spectrum's top) and residual
-    (the spectrum, with the predicted range filtered).
-
-    With ``edges`` of bands, the predictor covers those from first_band to past_band (columns of spectra); bands count
-    by equal RMS, and spectra whose bands are about equally loud are left out as noise. Without, it covers all lines as
-    they are. Left out too: silent spectra, ranges of no more lines than the order, perfect fits, filters of small
-    coefficients only, and those whose gain is under ``least_gain`` before or after quantizing."""
-
-    def fit(x: np.ndarray, bands: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        w, flat = weighed(x, bands) if bands is not None else (x, np.zeros(len(x), bool))
-        lags = np.stack([(w[:, : w.shape[1] - i] * w[:, i:]).sum(1) for i in range(order + 1)], 1)
-        k, gain = reflection(lags)
-        half = np.where(k >= 0, 7.5, 8.5) / (np.pi / 2)
-        index = np.clip(np.trunc(np.arcsin(k) * half + np.where(k >= 0, 0.5, -0.5)), -8, 7)
-        restored = np.sin(index / (np.where(index >= 0, 7.5, 8.5) / (np.pi / 2)))
-        small = np.logical_and.accumulate(np.abs(restored[:, ::-1]) < 0.1, 1)[:, ::-1]  # trailing ones are left out
-        restored = np.where(small, 0, restored)
-        a = np.concatenate([np.ones((len(x), 1)), direct_form(restored)], 1)
-        left = np.array([np.convolve(r, f)[: len(r)] for r, f in zip(w, a)])
-        kept = lags[:, 0] / np.maximum((left**2).sum(1), SILENT)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            fits = np.isfinite(gain) & (lags[:, 0] / gain > SILENT)
-        helped = ((x**2).sum(1) >= SILENT) & ~flat & fits & (gain >= least_gain) & ~small.all(1) & (kept >= least_gain)
-        residual = np.array([np.convolve(r, f)[: len(r)] for r, f in zip(x, a)])
-        return helped, gain, restored, kept, (~small).sum(1), residual
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keep)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(n).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            ranges = np.array([(a, b) if a is not None and b is not None else (0, 0) for a, b in zip(batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist())])
-            for lo, hi in np.unique(ranges, axis=0):
-                bands = np.array(edges[lo : hi + 1]) if edges else None
-                start, stop = (bands[0], bands[-1]) if edges else (0, x.shape[1])
-                if (edges and hi <= lo) or stop - start <= order:
-                    continue
-                rows = np.flatnonzero((ranges == (lo, hi)).all(1))
-                helped, gain, k, kept, orders, residual = fit(x[rows, start:stop], bands)
-                out, own = x[rows[helped]].copy(), pa.array(rows[helped], pa.int64())
-                out[:, start:stop] = residual[helped]
-                length = (len(edges) - 1 if edges else 1) - lo
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in (k[helped], out)]
-                cols = [pa.array(gain[helped]), lists[0], pa.array(kept[helped]), pa.array(orders[helped], pa.int32()), pa.array(np.full(len(own), length), pa.int32()), lists[1]]
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(own) for i in range(n)] + cols, names=[*keep, "gain", "k", "kept_gain", "filter_order", "length", "residual"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spectra.select(*keep).schema) + ", gain double, k array<double>, kept_gain double, filter_order int, length int, residual array<double>"
-    covered = ["first_band", "past_band"] if edges else [F.lit(0).alias("first_band"), F.lit(1).alias("past_band")]
-    return spectra.select(*keep, F.col("spec").cast("array<double>"), *covered).mapInArrow(run, schema)

@@ -11,7 +11,8 @@ from ..operators import bands as B
 from ..operators import frames as W
 from ..operators import transforms as T
 from ..operators.rate import rate_control
-from ..operators.sections import LARGEST, PREDICTED_BANDS, cheapest_sections, fixed_length_costs, predicted, with_band_range
+from ..operators.prediction import FLOOR, NOISE, PREDICTED_BANDS, SILENT, predicted, with_band_range
+from ..operators.sections import LARGEST, cheapest_sections, fixed_length_costs
 from ..sinks.containers import adts_streams, mp4_files
 from ..sources import pcm
 from ..sources.signals import line_samples, spectra, stream_params, table
@@ -22,6 +23,10 @@ from .frame_queries import LINES_SQL, SIZES_SQL, sizes
 from .frame_queries import ORACLE as FRAME_ORACLE
 
 
+#: The bands that a predictor covers, by rate index, in the small band layout.
+SMALL_RANGES = [(lo * 9 // 51, -(-hi * 9 // 51)) for lo, hi in PREDICTED_BANDS]
+
+
 def stream_headers(spark: SparkSession, sf: str) -> DataFrame:
     """The frame header of each user's frames, with the size known and a fullness of a 32nd of it."""
     size = F.col("size") + 7
@@ -182,10 +187,20 @@ def cheapest_books(spark: SparkSession, sf: str) -> DataFrame:
 
 def prediction_gains(spark: SparkSession, sf: str) -> DataFrame:
     """Spectra that a predictor along the lines helps, with their gains before and after quantizing it."""
-    n = len(B.EDGES_64) - 1
-    small = [(lo * n // 51, -(-hi * n // 51)) for lo, hi in PREDICTED_BANDS]  # the ranges in the small band layout
-    ranged = with_band_range(spectra(spark, sf), F.col("stream_id") % 12, n, small)
-    return predicted(ranged, ["frame_no"], order=8, least_gain=1.4, edges=B.EDGES_64).select("frame_no", "gain", "kept_gain")
+    ranged = with_band_range(spectra(spark, sf), F.col("stream_id") % 12, len(B.EDGES_64) - 1, SMALL_RANGES)
+    found = predicted(ranged, ["frame_no"], order=8, least_gain=1.4, edges=B.EDGES_64)
+    return found.select("frame_no", F.round("gain", 6).alias("gain"), F.round("kept_gain", 6).alias("kept_gain"))
+
+
+def shaped_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of spectra whose lines follow those before them and whose upper half is quiet: orders, gains and a
+    weighted sum of the residual."""
+    line = lambda i: F.coalesce(F.get("spec", i), F.lit(0.0))
+    shaped = spectra(spark, sf).withColumn("spec", F.transform("spec", lambda x, i: (x + line(i - 1) * 0.9 + line(i - 2) * 0.5) * F.when(i < 24, 100.0).otherwise(1.0)))
+    ranged = with_band_range(shaped, F.col("stream_id") % 12, len(B.EDGES_64) - 1, SMALL_RANGES)
+    found = predicted(ranged, ["frame_no"], order=8, least_gain=1.4, edges=B.EDGES_64)
+    weighted = F.aggregate(F.transform("residual", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return found.select("frame_no", "filter_order", "length", F.round("gain", 6).alias("gain"), F.round("kept_gain", 6).alias("kept_gain"), F.round(weighted, 3).alias("residual"))
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +225,7 @@ def indexed_files(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cheapest_books, prediction_gains, stream_files, indexed_files, stream_headers, decoder_configs, container_fields, output_names, rate_texts, escape_codes, section_sizes, scalefactor_deltas, fill_bits, window_group_bits,
+        cheapest_books, prediction_gains, shaped_predictions, stream_files, indexed_files, stream_headers, decoder_configs, container_fields, output_names, rate_texts, escape_codes, section_sizes, scalefactor_deltas, fill_bits, window_group_bits,
         reservoir, average_rate, frame_limits, rate_diagnostics, transient_grid, envelope_levels, cosine_lines, subbands, pcm_decoding, channel_layout,
     )
 }
@@ -234,6 +249,24 @@ def rate_sql(channels: int, bit_rate: int, sample_rate: int, constant: bool) ->
         FROM (SELECT s.stream_id, s.frame_no, s.size AS bits, s.size + greatest(0, {low} - s.size) AS sent, f.fill, f.balance, f.quality, f.before FROM fold f JOIN sizes s ON s.stream_id = f.stream_id AND s.frame_no = f.frame_no + 1)))))))"""
 
 
+PREDICTED_SQL = f"""WITH RECURSIVE ranges(r, lo, hi) AS (VALUES {", ".join(str((i, lo, hi)) for i, (lo, hi) in enumerate(SMALL_RANGES))}), e AS (SELECT {list(B.EDGES_64)} AS e),
+        x0 AS (SELECT vec_id AS frame_no, lo, hi, e[lo + 1] AS a, e[hi + 1] AS b, e, SPEC AS spec FROM embeddings JOIN ranges ON r = label % 12, e WHERE hi > lo AND e[hi + 1] - e[lo + 1] > 8),
+        x1 AS (SELECT *, spec[a + 1:b] AS x FROM x0), x2 AS (SELECT *, [spec[e[i + 1] + 1:e[i + 2]] for i in range(lo, hi)] AS bands FROM x1 WHERE list_sum([v * v for v in x]) >= {SILENT!r}::DOUBLE),
+        x3 AS (SELECT *, [sqrt(list_sum([v * v for v in s]) / len(s)) for s in bands] AS rms FROM x2),
+        x4 AS (SELECT *, greatest(list_max(rms) * {FLOOR}::DOUBLE, {SILENT!r}::DOUBLE) AS scale FROM x3 WHERE exp(list_avg([ln(greatest(r, {SILENT!r}::DOUBLE)) for r in rms])) / list_avg([greatest(r, {SILENT!r}::DOUBLE) for r in rms]) <= {NOISE}::DOUBLE),
+        x5 AS (SELECT frame_no, flatten([[v / greatest(rms[i], scale) for v in bands[i]] for i in range(1, len(rms) + 1)]) AS w FROM x4),
+        x6 AS (SELECT *, [list_sum([w[t] * w[t + i] for t in range(1, len(w) - i + 1)]) for i in range(9)] AS lags FROM x5),
+        fit AS (SELECT frame_no, 1 AS i, lags, [1.0::DOUBLE] AS a, []::DOUBLE[] AS ks, lags[1] AS error FROM x6
+            UNION ALL SELECT frame_no, i + 1, lags, [coalesce(a[j + 1], 0) + k * CASE WHEN j > 0 THEN a[i - j + 1] ELSE 0 END for j in range(i + 1)], list_append(ks, k), error * (1 - k * k)
+            FROM (SELECT *, coalesce(greatest(-0.999::DOUBLE, least(0.999::DOUBLE, -list_sum([a[j] * lags[i - j + 2] for j in range(1, i + 1)]) / nullif(error, 0))), 0) AS k FROM fit WHERE i <= 8)),
+        g AS (SELECT frame_no, lags[1] AS energy, lags[1] / error AS gain, ks FROM fit WHERE i = 9 AND error > {SILENT!r}::DOUBLE AND lags[1] / nullif(error, 0) >= 1.4),
+        n AS (SELECT *, [greatest(-8, least(7, trunc(asin(k) * CASE WHEN k >= 0 THEN 7.5::DOUBLE ELSE 8.5 END / (pi() / 2) + CASE WHEN k >= 0 THEN 0.5::DOUBLE ELSE -0.5 END))) for k in ks] AS index FROM g),
+        q AS (SELECT *, [sin(v / (CASE WHEN v >= 0 THEN 7.5::DOUBLE ELSE 8.5 END / (pi() / 2))) for v in index] AS back FROM n),
+        o AS (SELECT *, list_max([CASE WHEN abs(back[i]) >= 0.1::DOUBLE THEN i END for i in range(1, 9)]) AS top FROM q),
+        form AS (SELECT frame_no, energy, gain, 1 AS i, top, back, [1.0::DOUBLE] AS a FROM o WHERE top > 0
+            UNION ALL SELECT frame_no, energy, gain, i + 1, top, back, [coalesce(a[j + 1], 0) + back[i] * CASE WHEN j > 0 THEN a[i - j + 1] ELSE 0 END for j in range(i + 1)] FROM form WHERE i <= top),
+        kept AS (SELECT f.frame_no, top, a, gain, energy / greatest({SILENT!r}::DOUBLE, list_sum([pow(list_sum([a[j + 1] * CASE WHEN t - j >= 1 THEN w[t - j] ELSE 0 END for j in range(len(a))]), 2) for t in range(1, len(w) + 1)])) AS kept_gain FROM form f JOIN x6 USING (frame_no) WHERE i = top + 1)
+        """
 HEX_SQL = "unnest(range(len(hex(encode(text))) // 2)) AS i, hex(encode(text)) AS h"
 PROTOTYPE = T.prototype(4).tolist()
 
@@ -296,6 +329,11 @@ ORACLE = {
         dp AS (SELECT frame_no, sfb, [x + 9 for x in c] AS d FROM c WHERE sfb = 0
             UNION ALL SELECT c.frame_no, c.sfb, [c[i] + least(coalesce(d[i], list_min(d) + 9), list_min(d) + 9) for i in range(1, {len(LARGEST) + 1})] FROM dp JOIN c ON c.frame_no = dp.frame_no AND c.sfb = dp.sfb + 1)
         SELECT frame_no, list_min(d)::BIGINT AS bits FROM dp WHERE sfb = 8""",
+    "prediction_gains": PREDICTED_SQL.replace("SPEC AS", "[v::DOUBLE * 1000 for v in embedding] AS") + "SELECT frame_no, round(gain, 6) AS gain, round(kept_gain, 6) AS kept_gain FROM kept WHERE kept_gain >= 1.4",
+    "shaped_predictions": PREDICTED_SQL.replace("SPEC AS", "[(embedding[i]::DOUBLE * 1000 + coalesce(embedding[i - 1]::DOUBLE * 1000 * 0.9::DOUBLE, 0) * (i > 1)::INT + coalesce(embedding[i - 2]::DOUBLE * 1000 * 0.5::DOUBLE, 0) * (i > 2)::INT) * CASE WHEN i <= 24 THEN 100 ELSE 1 END for i in range(1, 65)] AS")
+    + """SELECT k.frame_no, top::INTEGER AS filter_order, 9 - lo AS length, round(gain, 6) AS gain, round(kept_gain, 6) AS kept_gain,
+            round(list_sum([(i + 1) * CASE WHEN i >= x.a AND i < x.b THEN list_sum([k.a[j + 1] * CASE WHEN i - j >= x.a THEN spec[i - j + 1] ELSE 0 END for j in range(len(k.a))]) ELSE spec[i + 1] END for i in range(64)]), 3) AS residual
+        FROM kept k JOIN x0 x USING (frame_no) WHERE kept_gain >= 1.4""",
     "stream_files": """WITH f AS (SELECT user_id AS stream_id, event_id, hex(encode(event_type)) AS h, length(event_type) + 7 AS n FROM events),
         w AS (SELECT stream_id, event_id, printf('FFF15080%02X%02XFC', n // 8, n % 8 * 32 + 31) || h AS w FROM f)
         SELECT stream_id, length(string_agg(w, '')) // 2 AS bytes, md5(unhex(string_agg(w, '' ORDER BY event_id))) AS digest FROM w GROUP BY 1""",

@@ -10,7 +10,7 @@ from ..functions import config as C
 from ..operators import bands as B
 from ..operators import envelopes as E
 from ..operators import frames as W
-from ..operators.sections import PREDICTED_BANDS
+from ..operators.prediction import PREDICTED_BANDS
 from ..sinks.containers import adts_chunks
 from ..sources.signals import PARAMS_SQL, line_samples, spectrum_pairs, stream_params, table
 from .coding_queries import payloads

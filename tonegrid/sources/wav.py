@@ -43,21 +43,27 @@ def chunk(raw: bytes, name: bytes, at: int) -> tuple[int, int]:
     raise ValueError(f"no {name.decode().strip()} chunk")
 
 
+def format_of(fmt: bytes) -> tuple[int, int, int, bool]:
+    """Sample rate, channels, bytes of a sample and whether samples are floats, from a fmt chunk."""
+    if len(fmt) < 16:
+        raise ValueError("short fmt chunk")
+    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", fmt)
+    if tag == EXTENSIBLE and len(fmt) >= 40:
+        tag = struct.unpack_from("<H", fmt, 24)[0]  # the format's number starts its identifier
+    width = (bits + 7) // 8
+    if tag not in (PCM, FLOAT) or not 1 <= channels <= 64 or not 1 <= width <= 4 or (tag == FLOAT and width != 4):
+        raise ValueError("unsupported format")
+    return rate, channels, width, tag == FLOAT
+
+
 def parse(raw: bytes) -> Layout:
     """The layout of a WAV file; ValueError says what is wrong with it."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, size = chunk(raw, b"fmt ", 12)
-    if size < 16 or at + 16 > len(raw):
-        raise ValueError("short fmt chunk")
-    tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, at)
-    if tag == EXTENSIBLE and size >= 40:
-        tag = struct.unpack_from("<H", raw, at + 24)[0]  # the format's number starts its identifier
-    width = (bits + 7) // 8
-    if tag not in (PCM, FLOAT) or not 1 <= channels <= 64 or not 1 <= width <= 4 or (tag == FLOAT and width != 4):
-        raise ValueError("unsupported format")
+    rate, channels, width, floating = format_of(raw[at : at + min(size, 40)])
     start, n = chunk(raw, b"data", at + size + size % 2)
-    return Layout(rate, channels, width, tag == FLOAT, start, min(n, len(raw) - start))
+    return Layout(rate, channels, width, floating, start, min(n, len(raw) - start))
 
 
 def file_frames(spark: SparkSession, path: str, length: int = 1024, raw: Layout | None = None, centre: int = 0, lfe: int = 0) -> DataFrame:

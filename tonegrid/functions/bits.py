@@ -78,6 +78,22 @@ def rate_or_quality(text: Column, is_rate: Column) -> tuple[Column, Column]:
     return F.when(is_rate, F.when(value > 0, value * 1000).otherwise(128_000)).otherwise(0), F.when(is_rate, 0).otherwise(F.when(value > 0, F.least(value, F.lit(65535))).otherwise(100))
 
 
+def leading_zeros(x: Column) -> Column:
+    """Zero bits before the highest one of a number of 32 bits without sign; 32 of 0."""
+    return F.when(x == 0, 32).otherwise(32 - F.length(F.bin(x.cast("long"))))
+
+
+def pair_head(tag: Column, sequence: Column, max_band: Column, ms: Column, n_bands: int) -> tuple[Column, Column]:
+    """The fields before a channel pair's data, with a window that both share, as hex text, and their number: the
+    element's kind and tag, the window's kind and its bands, and the mask of bands coded as middle and side, only if there
+    is such a band. ms: an array of booleans by band; long blocks."""
+    used = F.exists(ms, lambda m: m)
+    shared = [(1, 3), (tag, 4), (1, 1), (0, 1), (sequence, 2), (0, 1), (max_band, 6), (0, 1)]
+    mask = F.aggregate(F.slice(ms, 1, n_bands), F.lit(0).cast("long"), lambda s, m: s * 2 + F.when(m, 1).otherwise(0))
+    with_mask, without = fields(*shared, (1, 2), (mask, n_bands)), fields(*shared, (0, 2))
+    return F.when(used, hexed(*with_mask)).otherwise(hexed(*without)), F.when(used, with_mask[1]).otherwise(without[1])
+
+
 def escape_code(x: Column) -> tuple[Column, Column]:
     """Code and length of a magnitude of 16 or more: ones, a zero, then the bits after its highest one."""
     high = F.floor(F.log2(x + F.lit(0.5))).cast("int")

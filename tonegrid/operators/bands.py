@@ -149,6 +149,47 @@ def intensity_position(b: Column) -> tuple[Column, Column]:
     return sf.cast("int"), (F.rint(HALF_STEP * F.log10(b.er / (b.el + b.er))) - sf).cast("int")
 
 
+def intensity_spectra(pairs: DataFrame, first_band: int, edges: Sequence[int] = EDGES_64) -> DataFrame:
+    """pairs (left, right and more) with the bands from ``first_band`` on carried by the left channel alone: the sum of
+    both, or their difference where they are in opposite phase, scaled to the energy of both. There the right channel
+    is silent; below, both stay. Bands are joined back into whole spectra in the row."""
+    found = pair_bands(pairs, edges)
+    cut = lambda c, b: F.slice(c, b.lo + 1, b.hi - b.lo)
+
+    def mixed(b: Column) -> Column:
+        sign = F.when(b.elr >= 0, 1.0).otherwise(-1.0)
+        own = b.el + b.er + sign * 2 * b.elr
+        scale = F.when(own > 0, F.sqrt((b.el + b.er) / own)).otherwise(0.0)
+        return F.when(b.sfb < first_band, cut("left", b)).otherwise(F.zip_with(cut("left", b), cut("right", b), lambda x, y: (x + sign * y) * scale))
+
+    silent = lambda b: F.when(b.sfb < first_band, cut("right", b)).otherwise(F.transform(cut("right", b), lambda _: F.lit(0.0)))
+    return found.withColumns({"left": F.flatten(F.transform("bands", mixed)), "right": F.flatten(F.transform("bands", silent))}).drop("bands")
+
+
+#: Steps that a difference of scalefactors has at most, and how far noise lies under the first gain; fixed by the format.
+MOST_DELTA, NOISE_OFFSET = 60, 90
+
+
+def sent_scalefactors(bands: Column) -> Column:
+    """For bands (sfb, kind, value) in order, with kinds coded, intensity and noise: what is sent and the value it restores.
+    Each kind follows the last band of its own: coded bands start from the first coded value, intensity from 0, noise from
+    the first coded value less an offset. Differences are clamped, and what a clamp takes stays in the chain; the first
+    noise band is sent whole. Bands of other kinds are left out."""
+    acc = "struct<coded: int, intensity: int, noise: int, first: boolean, out: array<struct<sfb: int, kind: string, delta: int, restored: int>>>"
+    gain = F.coalesce(F.get(F.filter(bands, lambda b: b.kind == "coded"), F.lit(0)).value, F.lit(0))
+    start = F.struct(gain.alias("coded"), F.lit(0).alias("intensity"), (gain - NOISE_OFFSET).alias("noise"), F.lit(True).alias("first"), F.array().cast("array<struct<sfb: int, kind: string, delta: int, restored: int>>").alias("out")).cast(acc)
+
+    def step(s: Column, b: Column) -> Column:
+        last = F.when(b.kind == "coded", s.coded).when(b.kind == "intensity", s.intensity).otherwise(s.noise)
+        whole = (b.kind == "noise") & s["first"]
+        delta = F.when(whole, b.value - last).otherwise(F.greatest(F.lit(-MOST_DELTA), F.least(F.lit(MOST_DELTA), b.value - last)))
+        of = lambda kind, was: F.when(b.kind == kind, last + delta).otherwise(was)
+        sent = F.struct(b.sfb.alias("sfb"), b.kind.alias("kind"), delta.alias("delta"), (last + delta).alias("restored"))
+        return F.struct(of("coded", s.coded).alias("coded"), of("intensity", s.intensity).alias("intensity"), of("noise", s.noise).alias("noise"), (s["first"] & (b.kind != "noise")).alias("first"), F.concat(s.out, F.array(sent)).alias("out")).cast(acc)
+
+    return F.aggregate(F.filter(bands, lambda b: b.kind.isin("coded", "intensity", "noise")), start, step, lambda s: s.out)
+
+
 def autocorrelation(spec: Column, lags: int) -> Column:
     """Sums of products at distances 0 to lags."""
     return F.transform(F.sequence(F.lit(0), F.lit(lags)), lambda k: total(F.zip_with(F.slice(spec, 1, F.size(spec) - k), F.slice(spec, k + 1, F.size(spec) - k), lambda a, b: a * b)))

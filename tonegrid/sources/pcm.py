@@ -37,6 +37,37 @@ def channel_map(channels: int, centre: int = 0, lfe: int = 0) -> list[int]:
     return ([first] if first < channels else []) + between[: channels - len(ends)] + ([last] if last < channels else [])
 
 
+#: What a stream's caller may hand over: bytes of a sample, whether it is a float, and the divisor to the inner scale.
+INPUT_FORMATS = {"s16": (2, False, 1), "s24": (3, False, 256), "s32": (4, False, 256), "f32": (4, True, 1)}
+
+
+def interleaved(raw: bytes, kind: str, order: list[int]) -> np.ndarray:
+    """The samples of an interleaved stream, a row for each output channel: the input channel that ``order`` names for it.
+    Bytes after the last whole block of all channels are left out."""
+    width, floating, divisor = INPUT_FORMATS[kind]
+    blocks = np.frombuffer(raw, np.uint8)[: len(raw) // (width * len(order)) * width * len(order)].tobytes()
+    values = decode(blocks, width, floating=floating) * (1 / 32768 if floating else 1)
+    scale = {2: 1, 3: 256, 4: 65536}[width] / divisor if not floating else 1  # decode has integers on the scale of 16 bits
+    return (values * scale).reshape(-1, len(order)).T[order]
+
+
+def ingested(df: DataFrame, key: str, raw: str, kind: str, order: list[int]) -> DataFrame:
+    """The key, channel, and samples of whole interleaved streams: ``raw`` holds bytes, ``kind`` names a column of formats.
+    A null stream has no samples; a format that isn't known gives a null array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, content, form = (batch.column(k).slice(i, 1) for k in range(3))
+                known = form[0].as_py() in INPUT_FORMATS
+                rows = interleaved(content[0].as_py() or b"", form[0].as_py(), order) if known else [None] * len(order)
+                cols = [pa.concat_arrays([name] * len(order)), pa.array(range(len(order)), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "channel", "samples"])
+
+    of = df.schema[key].dataType.simpleString()
+    return df.select(key, raw, kind).mapInArrow(run, f"{key} {of}, channel int, samples array<double>")
+
+
 def sums(df: DataFrame, key: str, text: str) -> DataFrame:
     """For whole texts as raw samples: bytes, and sums of what each integer format decodes to."""
     formats = (("u8", 1, False), ("s16", 2, False), ("s16_big", 2, True), ("s24", 3, False), ("s32", 4, False))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_text
+from .common import cut, map_text, scratch
 
 CHUNK, LEVEL = 512, 3
 
@@ -95,6 +95,11 @@ def within(rows: list[tuple], most: int) -> list[tuple]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, size: int = 1 << 18, sample_bytes: int = 16 << 20) -> Model | float:
     """The model, or the constant score if a label has no rows. labels: doc_id and label (0 or 1)."""
+    with scratch(docs.sparkSession):
+        return fitted(docs, labels, sample, size, sample_bytes)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int, size: int, sample_bytes: int) -> Model | float:
     labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"), F.max(F.col("label").cast("int")).alias("other"))
     labels = labels.where("label = other").drop("other")
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -104,11 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, size: int = 1 <<
     chosen = [labels.where(F.col("label") == k).withColumn("h", h).orderBy("h", "doc_id").limit(sample) for k in (0, 1)]
     chosen = chosen[0].union(chosen[1])  # at most 2 * sample rows
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("h", "label", "doc_id").agg(F.min(F.struct("sha", F.octet_length("text").alias("n"))).alias("one")).select("h", "one.n", "label", "doc_id", "one.sha").collect()
+    # texts are looked through once; only the chosen rows are hashed, and all that follows reads those
+    texts = cut(docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)), "labelled")
+    found = texts.groupBy("h", "label", "doc_id").agg(F.min(F.struct("sha", F.octet_length("text").alias("n"))).alias("one")).select("h", "one.n", "label", "doc_id", "one.sha").collect()
     used = [row for k in (0, 1) for row in within([tuple(r) for r in found if r["label"] == k], sample_bytes)]
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i, sha, h, label) for h, _, label, i, sha in used], StructType([labels.schema["doc_id"], *StructType.fromDDL("sha string, h string, label int")]))
+    wanted = spark.createDataFrame([(i, sha) for _, _, _, i, sha in used], StructType([labels.schema["doc_id"], *StructType.fromDDL("sha string")]))
     rows = texts.join(F.broadcast(wanted), ["doc_id", "sha"]).dropDuplicates(["doc_id"])
     # the last bit of h's first eight digits decides between dictionary and curve
     rows = rows.withColumn("train", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 2 == 0)

@@ -103,6 +103,22 @@ def test_subbands_find_a_tone():
         assert e.argmax() == band
 
 
+def test_short_blocks_have_no_inverse():
+    with pytest.raises(ValueError, match="short blocks"):
+        T.inverse(np.zeros((1, 64)), T.SHORT)
+
+
+def test_interleaved_streams():
+    """Four formats, mapped channels, bytes after the last whole block, and a format that isn't known."""
+    x = np.array([[1, -2, 300], [4, 5, -32768], [7, 8, 9]])
+    order = pcm.channel_map(3, 2, 1)
+    for kind, raw, scale in (("s16", x.astype("<i2"), 1), ("s32", x.astype("<i4"), 256), ("f32", (x / 3).astype("<f4"), 3)):
+        assert np.allclose(pcm.interleaved(raw.tobytes() + b"xy", kind, order), x.T[order] / scale)
+    three = x.astype("<i4").ravel().view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    assert np.allclose(pcm.interleaved(three, "s24", order), x.T[order] / 256)
+    assert pcm.interleaved(b"", "s16", order).shape == (3, 0)
+
+
 def test_reservoir_stays_in_bounds(spark):
     rows = [(1, i, int(b)) for i, b in enumerate(np.random.default_rng(4).integers(0, 12000, 400))]
     got = rate_control(spark.createDataFrame(rows, "stream_id long, frame_no long, bits long"), 2, 64_000, 48_000, True).toPandas()

@@ -13,15 +13,11 @@ DEFAULT_QUALITY, MAX_QUALITY, MIN_QUALITY, BANDWIDTH_CEILING = 100, 5000, 1, 187
 #: Lowest sample rate of each rate index but the last; fixed by the format.
 RATE_THRESHOLDS = (92017, 75132, 55426, 46009, 37566, 27713, 23004, 18783, 13856, 11502, 9391)
 
-#: Offsets of the SBR start band by table row (16000, 22050, 24000, 32000, up to 64000 Hz, above); fixed by the format.
-SBR_OFFSETS = (
-    (-8, -7, -6, -5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7),
-    (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13),
-    (-5, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 16),
-    (-6, -4, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 16),
-    (-4, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 16, 20),
-    (-2, -1, 0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 13, 16, 20, 24),
-)
+#: Steps that the start band lies above its base, by rates up to 16, 22.05, 24, 32 and 64 kHz and above. Fixed values.
+START_STEPS = (7, 13, 16, 16, 20, 24)
+#: Rates a channel from which a mixed stream is of a tier, for plain and for SBR cores, and the highest frequency of mid/side
+#: coding in long and short windows there (None: every band). Below all of them there is none. Fixed values.
+MS_TIERS = ((40000, 40000, None, 0), (32000, 24000, None, 2000), (None, 20000, 1000, 1000))
 
 
 def steps(value: Column, cases: list[tuple[Column, object]], otherwise: object) -> Column:
@@ -163,15 +159,16 @@ def band_at(offsets: list[int], hz: Column, width: int, rate: Column) -> Column:
 def stereo_policy(p: DataFrame, long_offsets: list[int], short_offsets: list[int]) -> DataFrame:
     """Adds, for long and short windows, the end of mid/side coding and the start of intensity coding, as bands."""
     rate, sbr, fs = F.col("rate"), F.col("kind") == "HE", F.col("core_rate")
-    starved = (rate > 0) & (rate < 40000)
     cap = F.least(F.lit(7000), div(fs * 7, 20))
     crossover = F.when(cap < 3500, cap).otherwise(clamp(F.floor(F.col("bandwidth") * 0.35), 3500, cap))
-    split = F.when(sbr, rate >= 24000).otherwise(rate >= 32000)
-    low = sbr & (rate >= 20000)
-    mixed_long = F.when(~starved | split, fs).when(low, 1000).otherwise(0)
-    mixed_short = F.when(~starved, fs).when(split, 2000).when(low, 1000).otherwise(0)
-    top = lambda mixed: F.when(F.col("joint_mode") == "ms", fs).when(F.col("joint_mode") == "mixed", mixed).otherwise(0)
-    ms_long, ms_short = band_at(long_offsets, top(mixed_long), 1024, fs), band_at(short_offsets, top(mixed_short), 128, fs)
+
+    def top(window: int) -> Column:
+        """The highest frequency of mid/side coding; a stream without a rate is of the first tier."""
+        reaches = lambda lc, he: (rate == 0) | F.coalesce(rate >= F.when(sbr, he).otherwise(lc), F.lit(False))
+        mixed = steps(rate, [(reaches(lc, he), fs if hz[window] is None else F.lit(hz[window])) for lc, he, *hz in MS_TIERS], 0)
+        return F.when(F.col("joint_mode") == "ms", fs).when(F.col("joint_mode") == "mixed", mixed).otherwise(0)
+
+    ms_long, ms_short = band_at(long_offsets, top(0), 1024, fs), band_at(short_offsets, top(1), 128, fs)
     late = (ms_short == 0) & (F.col("joint_mode") == "mixed") & (rate >= 80000)
     return p.withColumns({
         "ms_end_long": ms_long, "ms_end_short": ms_short, "is_start_long": F.when(ms_long > 0, ms_long).otherwise(8),
@@ -185,7 +182,7 @@ def sbr_bands(p: DataFrame) -> DataFrame:
     fs, rate = F.col("sample_rate"), F.col("rate")
     edge = F.when(fs < 32000, 3000).when(fs < 64000, 4000).otherwise(5000)
     row = steps(fs, [(fs <= top, i) for i, top in enumerate((16000, 22050, 24000, 32000, 64000))], 5)
-    offset = F.element_at(F.array(*[F.lit(r[15]) for r in SBR_OFFSETS]), row + 1)
+    offset = F.element_at(F.array(*[F.lit(n) for n in START_STEPS]), row + 1)
     kx = clamp(div(edge * 128 + div(fs, 2), fs) + offset, 1, 63)
     low = div(edge * 256 + div(fs, 2), fs)
     # thirteen geometric steps from the lowest stop band to 64, their widths sorted

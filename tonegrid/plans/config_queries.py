@@ -102,7 +102,7 @@ ORACLE = {
     "stereo_bands": f"""
         WITH {RESOLVED_SQL}, hz AS (SELECT *,
             CASE joint_mode WHEN 'ms' THEN core_rate WHEN 'mixed' THEN CASE WHEN rate = 0 OR rate >= 40000 THEN core_rate WHEN rate >= CASE WHEN kind = 'HE' THEN 24000 ELSE 32000 END THEN core_rate WHEN kind = 'HE' AND rate >= 20000 THEN 1000 ELSE 0 END ELSE 0 END AS hz_long,
-            CASE joint_mode WHEN 'ms' THEN core_rate WHEN 'mixed' THEN CASE WHEN rate = 0 OR rate >= 40000 THEN core_rate WHEN rate >= CASE WHEN kind = 'HE' THEN 24000 ELSE 32000 END THEN 2000 WHEN kind = 'HE' AND rate >= 20000 THEN 1000 ELSE 0 END ELSE 0 END AS hz_short,
+            CASE joint_mode WHEN 'ms' THEN core_rate WHEN 'mixed' THEN CASE WHEN rate = 0 OR rate >= 40000 THEN 0 WHEN rate >= CASE WHEN kind = 'HE' THEN 24000 ELSE 32000 END THEN 2000 WHEN kind = 'HE' AND rate >= 20000 THEN 1000 ELSE 0 END ELSE 0 END AS hz_short,
             least(7000, core_rate * 7 // 20) AS cap FROM resolved),
         b AS (SELECT *, {band_sql(LONG_STARTS, "hz_long", 1024)} AS ms_end_long, {band_sql(SHORT_STARTS, "hz_short", 128)} AS ms_end_short,
             CASE WHEN cap < 3500 THEN cap ELSE greatest(3500, least(cap, floor(bandwidth * 0.35::DOUBLE)::BIGINT)) END AS cross_hz FROM hz)

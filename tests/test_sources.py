@@ -39,6 +39,18 @@ def test_files_in_ranges(spark, tmp_path, frames):
     assert got.where("status = 'ok'").select(F.spark_partition_id()).distinct().count() >= min(4, 48 // frames)
 
 
+def test_length_in_the_header_can_be_ignored(spark, tmp_path):
+    R.register(spark)
+    whole = bytearray(wav(np.arange(400)))
+    at = whole.index(b"data") + 4
+    whole[at : at + 4] = struct.pack("<I", 40)
+    (tmp_path / "open.wav").write_bytes(bytes(whole))
+    read = spark.read.format("sample_frames").options(path=str(tmp_path), length=10, frames=4)
+    assert {r.n_samples for r in read.load().collect()} == {10}
+    got = read.option("ignore_length", "true").load().where("channel = 1").orderBy("frame_no").collect()
+    assert [x for r in got for x in r.pcm] == [float(x) for x in range(1, 400, 2)]
+
+
 def test_headerless_files_in_ranges(spark, tmp_path):
     R.register(spark)
     (tmp_path / "x.pcm").write_bytes(np.arange(500, dtype=">i2").tobytes() + b"z")

@@ -10,7 +10,7 @@ from ..operators.filterbank import analysed
 from ..operators.rate import CHANNEL_BITS, frame_budget
 from ..operators.scans import clamped
 from ..operators.transforms import prototype
-from ..sources.signals import line_samples
+from ..sources.signals import LINE_ORDER, line_samples, numbered_in_ranges, table
 from .frame_queries import LINES_SQL, SIZES_SQL, sizes
 from .frame_queries import ORACLE as FRAME_ORACLE
 
@@ -52,7 +52,12 @@ def bank_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*keys, "channel", "envelope", F.col("band").cast("long").alias("band"), F.round(F.col("energy") / 1e6, 3).alias("energy"))
 
 
-QUERIES = {f.__name__: f for f in (reservoir_fill, bank_energies, bank_half_rate, bank_envelopes)}
+def ranged_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's lines as samples, numbered in ranges, so that no stream is sorted in one task."""
+    return numbered_in_ranges(table(spark, sf, "lineitem"), "l_suppkey", LINE_ORDER, "l_extendedprice", ranges=32)
+
+
+QUERIES = {f.__name__: f for f in (ranged_samples, reservoir_fill, bank_energies, bank_half_rate, bank_envelopes)}
 
 LENGTH = BANDS * SLOTS
 BANK_SQL = f"""{LINES_SQL}, taps AS (SELECT unnest(range({10 * BANDS})) AS n, unnest({prototype(BANDS).tolist()}::DOUBLE[]) AS c),
@@ -63,6 +68,7 @@ BANK_SQL = f"""{LINES_SQL}, taps AS (SELECT unnest(range({10 * BANDS})) AS n, un
     bank AS (SELECT p.stream_id, place // {SLOTS} AS frame_no, place % {SLOTS} AS slot, b.band, coalesce(re * re + im * im, 0) AS e FROM placed p CROSS JOIN range({BANDS}) b(band) LEFT JOIN parts USING (stream_id, place, band))"""
 
 ORACLE = {
+    "ranged_samples": f"WITH {LINES_SQL} SELECT * FROM samples",
     "reservoir_fill": f"""WITH RECURSIVE {SIZES_SQL}, fold AS (SELECT stream_id, -1::BIGINT AS frame_no, 0::BIGINT AS size, {CAP // 2}::BIGINT AS fill FROM sizes WHERE frame_no = 0
             UNION ALL SELECT s.stream_id, s.frame_no, s.size, least({CAP}, greatest(0, f.fill + {BUDGET} - s.size)) FROM fold f JOIN sizes s ON s.stream_id = f.stream_id AND s.frame_no = f.frame_no + 1)
         SELECT * FROM fold WHERE frame_no >= 0""",

@@ -6,7 +6,8 @@ are planned, and a task reads only its range's bytes, so one large file spreads
 a range is read again exactly as before when a query restarts. Files are reached through Arrow's file systems.
 
 Options: ``path`` (a file or a folder), ``length`` (samples of a frame), ``frames`` (frames of a range), ``centre`` and ``lfe``
-(1-based places of those channels); for headerless files ``channels``, ``width`` (bytes of a sample), ``rate``, ``big``.
+(1-based places of those channels), ``ignore_length`` (read to the file's end, whatever its header says of its length, as
+for files that were never closed); for headerless files ``channels``, ``width`` (bytes of a sample), ``rate``, ``big``.
 Files that can't be read have one row with their status and no frame. The last frame is filled up with zeros.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +85,19 @@ class FrameReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options, self.length, self.frames = dict(options), int(options.get("length", 1024)), int(options.get("frames", 4096))
         self.raw, self.big = raw_layout(self.options), str(options.get("big", "true")).lower() == "true"
+        self.endless = str(options.get("ignore_length", "false")).lower() == "true"
 
     def partitions(self) -> list[Range]:
         out = []
         for path, size in files(self.options["path"]):
             try:
                 if self.raw:
-                    layout = Layout(*[*vars(self.raw).values()][:5], size)
+                    layout = replace(self.raw, size=size)
                 else:
                     with opened(path) as source:
                         layout = located(source, size)
+                    if self.endless:
+                        layout = replace(layout, size=size - layout.start)
             except ValueError as wrong:
                 out.append(Range(path, str(wrong)))
                 continue

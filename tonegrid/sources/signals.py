@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 #: Standard sample rates, by index.
 RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000)
 
@@ -26,6 +28,22 @@ def numbered(df: DataFrame, stream: str, order: tuple[str, ...], value: str) ->
     return df.select(F.col(stream).alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("sample_no"), F.col(value).cast("double").alias("x"))
 
 
+def numbered_in_ranges(df: DataFrame, stream: str, order: tuple[str, ...], value: str, ranges: int = 200) -> DataFrame:
+    """The same for streams of any length: rows are dealt over ``ranges`` of stream and order, so that a long stream lies in
+    many of them; a row's place is its place in its range and the rows of its stream in the ranges before. Ranges are kept
+    as written, so that counting them and numbering them see the same."""
+    keyed = df.select(F.col(stream).alias("stream_id"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("x"))
+    keys = [f"__{i}" for i in range(len(order))]
+    dealt = cut(keyed.repartitionByRange(ranges, "stream_id", *keys).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy("stream_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("stream_id", "__range").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.col("stream_id").alias("__stream"), F.col("__range").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range", "stream_id").orderBy(*keys))
+    same = (F.col("__range") == F.col("__of")) & F.col("stream_id").eqNullSafe(F.col("__stream"))
+    placed = dealt.withColumn("__own", own).join(counts, same)
+    return placed.select("stream_id", (F.col("__before") + F.col("__own") - 1).cast("long").alias("sample_no"), "x")
+
+
 def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream for each user of events: many short streams."""
     return numbered(table(spark, sf_dir, "events"), "user_id", ("event_id",), "value")

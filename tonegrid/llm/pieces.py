@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi pass.
 
 A text becomes marked words: a space is the mark, one mark goes before the text, and a word is a run of marks with
-what follows up to the next mark. No piece has a mark after another character, so words are encoded apart. The
-distinct words of a slice of texts are sorted, which lays them out as a trie in depth-first order: going from a word
+what follows up to the next mark (or a line's end). No piece has a mark after another character, so words are encoded
+apart. The distinct words of a slice of texts are sorted, which lays them out as a trie in depth-first order: going from a word
 to the next keeps the forward states of their common prefix and computes those of the other characters.
 
 Forward state of a prefix: its best last piece. For a unigram model that is the path with the highest sum of piece
@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,9 +33,10 @@ from pyspark.sql import DataFrame
 from .common import held, map_text
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: White space that parts words too, where the vocabulary has it in no piece with other characters: nothing merges across it.
+PARTING = "\n\r\t"
 #: Words and pairs of pieces that a Python worker remembers, and the length up to which a word is remembered.
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 200_000, 200_000, 64
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 300_000, 64
 UNIGRAM, BPE = 1, 2
 
 
@@ -93,15 +95,23 @@ class Encoder:
         self.v = vocabulary
         # pieces by their characters from the last to the first: what may end a prefix is found in one walk back
         self.back: dict = {}
-        for piece in vocabulary.scores:
+        for piece in vocabulary.scores if vocabulary.kind == UNIGRAM else ():
             node = self.back
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = piece
+        # and for BPE all of them by an automaton, the longest first
+        self.longest, self.automaton = max(map(len, vocabulary.scores), default=1), ahocorasick.Automaton()
+        for piece in vocabulary.scores if vocabulary.kind == BPE else ():
+            self.automaton.add_word(piece, piece)
+        if len(self.automaton):
+            self.automaton.make_automaton()
         self.penalty = min(vocabulary.scores.values(), default=0.0) - 10
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
         self.chars: dict[str, str] = {}  # one string for each character that is no piece
+        parting = "".join(c for c in PARTING if not any(c in p for p in vocabulary.scores if len(p) > 1))
+        self.parted = re.compile(f"{MARK}*[^{MARK}{parting}]+|{MARK}+" + (f"|[{parting}]" if parting else "")).findall
         longest = sorted(vocabulary.defined, key=len, reverse=True)
         self.taken_out = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
@@ -136,29 +146,40 @@ class Encoder:
                 found.append(node[""])
         return found
 
-    def last_piece(self, word: str, j: int, last: list[str | None], scores: array) -> tuple[str, float]:
-        """The forward state of word[:j]: its last piece and, for a unigram model, the score."""
-        if self.v.kind == BPE:
-            pairs = self.pairs
-            for piece in reversed(self.endings(word, j)):
-                key = (last[j - len(piece)], piece)
-                if (stands := pairs.get(key)) is None:
-                    if len(pairs) >= CACHED_PAIRS:
-                        pairs.clear()
-                    stands = pairs[key] = self.stands(*key)
-                if stands:
-                    return piece, 0.0
-            return self.chars.setdefault(word[j - 1], word[j - 1]), 0.0
+    def last_piece(self, word: str, j: int, scores: array) -> tuple[str, float]:
+        """The forward state of word[:j] for a unigram model: the last piece of its best path, and the path's score."""
         best = (self.chars.setdefault(word[j - 1], word[j - 1]), scores[j - 1] + self.penalty)
         for piece in self.endings(word, j):
             if (score := scores[j - len(piece)] + self.v.scores[piece]) > best[1]:
                 best = (piece, score)
         return best
 
+    def go_on_merged(self, word: str, last: list[str | None]) -> None:
+        """Appends a BPE model's forward states of the word's characters from where ``last`` ends. One automaton finds the
+        pieces that end at a character, the longest first; the first that stands after its path's last piece is it."""
+        pairs, done = self.pairs, len(last) - 1
+        for end, piece in self.automaton.iter(word, max(0, done - self.longest + 1)) if self.v.scores else ():
+            if end < done:
+                continue
+            while done < end:  # no piece ends there
+                last.append(self.chars.setdefault(word[done], word[done]))
+                done += 1
+            key = (last[end + 1 - len(piece)], piece)
+            stands = pairs.get(key)
+            if stands is None:
+                if len(pairs) >= CACHED_PAIRS:
+                    pairs.clear()
+                stands = pairs[key] = self.stands(*key)
+            if stands:
+                last.append(piece)
+                done += 1
+        for c in word[done:]:
+            last.append(self.chars.setdefault(c, c))
+
     def sorted_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Sorted distinct words with their pieces. ``last[j]`` and ``scores[j]`` are the forward state of the first j
         characters: 16 bytes a character, also of a word without end, as pieces are the vocabulary's own strings."""
-        last, scores = [None], array("d", [0.0])
+        last, scores, merges = [None], array("d", [0.0]), self.v.kind == BPE
         before = ""
         for word in words:
             n = 0
@@ -166,11 +187,15 @@ class Encoder:
                 if x != y:
                     break
                 n += 1
-            del last[n + 1 :], scores[n + 1 :]
-            for j in range(n + 1, len(word) + 1):
-                piece, score = self.last_piece(word, j, last, scores)
-                last.append(piece)
-                scores.append(score)
+            del last[n + 1 :]
+            if merges:
+                self.go_on_merged(word, last)
+            else:
+                del scores[n + 1 :]
+                for j in range(n + 1, len(word) + 1):
+                    piece, score = self.last_piece(word, j, scores)
+                    last.append(piece)
+                    scores.append(score)
             pieces, j = [], len(word)
             while j:
                 pieces.append(last[j])
@@ -192,9 +217,9 @@ class Encoder:
     def split(self, marked: str) -> list[str]:
         """The words of a text, and the pieces that its model's users defined (the longest that fits, from left to right)."""
         if not self.taken_out:
-            return WORDS.findall(marked)
+            return self.parted(marked)
         parts = self.taken_out.split(marked)
-        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else WORDS.findall(part))]
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.parted(part))]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         split = [self.split(MARK + t.decode().replace(" ", MARK)) if t else [] for t in texts]
@@ -204,7 +229,7 @@ class Encoder:
         words |= {p: np.array([self.v.ids[p]], np.int32).tobytes() for p in self.v.defined}
         new = sorted({w for own in split for w in own if w not in words})
         for word, pieces in self.sorted_words(new):
-            words[word] = np.array(self.piece_ids(pieces), np.int32).tobytes()
+            words[word] = array("i", self.piece_ids(pieces)).tobytes()
         out = [np.frombuffer(b"".join(map(words.__getitem__, own)), np.int32) for own in split]
         for word in new:
             if len(word) > CACHED_LENGTH:

@@ -83,6 +83,14 @@ def leading_zeros(x: Column) -> Column:
     return F.when(x == 0, 32).otherwise(32 - F.length(F.bin(x.cast("long"))))
 
 
+def window_info(sequence: Column, max_band: Column, groups: Column) -> tuple[Column, Column]:
+    """The fields of a channel's window as hex text, and their number: its sequence (2 is short) and its bands, for short
+    windows with the lengths of their groups as a field of seven bits, for others without a predictor."""
+    head = [(0, 1), (sequence, 2), (0, 1)]
+    short, other = fields(*head, (max_band, 4), (grouping_bits(groups), 7)), fields(*head, (max_band, 6), (0, 1))
+    return F.when(sequence == 2, hexed(*short)).otherwise(hexed(*other)), F.when(sequence == 2, short[1]).otherwise(other[1])
+
+
 def pair_head(tag: Column, sequence: Column, max_band: Column, ms: Column, n_bands: int) -> tuple[Column, Column]:
     """The fields before a channel pair's data, with a window that both share, as hex text, and their number: the
     element's kind and tag, the window's kind and its bands, and the mask of bands coded as middle and side, only if there

@@ -14,7 +14,8 @@ from .band_queries import ORACLE as BAND_ORACLE
 from .band_queries import PAIR_SQL, QUALITY
 from .book_queries import HEX_SQL
 from .config_queries import RESOLVED_SQL
-from .frame_queries import digest
+from .frame_queries import ORACLE as FRAME_ORACLE
+from .frame_queries import digest, window_groups
 
 N_BANDS, CHANNELS, CENTRE, LFE = len(B.EDGES_64) - 1, 3, 2, 1
 
@@ -44,6 +45,13 @@ def pair_heads(spark: SparkSession, sf: str) -> DataFrame:
     return chosen_bands(spark, sf).select("pair_no", head.alias("head"), n.alias("n_bits"))
 
 
+def window_infos(spark: SparkSession, sf: str) -> DataFrame:
+    """The window's fields of each frame, its kind by the frame's number; short ones with their groups."""
+    found = window_groups(spark, sf).withColumn("lens", F.transform(F.split("groups", ","), lambda x: x.cast("int")))
+    info, n = X.window_info(F.col("frame_no") % 4, F.col("frame_no") % 13, F.col("lens"))
+    return found.select("frame_no", info.alias("info"), n.alias("n_bits"))
+
+
 def intensity_spectra(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs whose bands from the fifth on the left channel carries for both."""
     return B.intensity_spectra(spectrum_pairs(spark, sf), first_band=4).select("pair_no", digest("left").alias("left"), digest("right").alias("right"))
@@ -71,7 +79,7 @@ def ingested_streams(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "channel", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (sent_scalefactors, pair_heads, intensity_spectra, leading_zeros, rate_cutoffs, ingested_streams)}
+QUERIES = {f.__name__: f for f in (sent_scalefactors, pair_heads, window_infos, intensity_spectra, leading_zeros, rate_cutoffs, ingested_streams)}
 
 CHOSEN_SQL = f"""c AS ({BAND_ORACLE["stereo_choices"]}), {PAIR_SQL.replace("WITH ", "")},
     k AS (SELECT pair_no, sfb, choice, pan, round_even(6.6439::DOUBLE * log10(er), 0)::INT AS level, CASE WHEN er <= 0 THEN 'zero' WHEN choice IN ('in_phase', 'anti_phase') THEN 'intensity' WHEN sfb % 5 = 3 THEN 'noise' ELSE 'coded' END AS kind FROM pb JOIN c USING (pair_no, sfb)),
@@ -88,6 +96,10 @@ ORACLE = {
     "pair_heads": f"""WITH {CHOSEN_SQL}, m AS (SELECT pair_no, string_agg(CASE WHEN choice = 'ms' AND kind <> 'noise' THEN '1' ELSE '0' END, '' ORDER BY sfb) AS mask FROM v GROUP BY 1),
         t AS (SELECT pair_no, '001' || lpad(bin(pair_no % 16), 4, '0') || '10' || lpad(bin(pair_no % 4), 2, '0') || '0' || lpad(bin({N_BANDS}), 6, '0') || '0' || CASE WHEN contains(mask, '1') THEN '01' || mask ELSE '00' END AS s FROM m),
         p AS (SELECT pair_no, length(s)::INT AS n_bits, s || repeat('0', (8 - length(s) % 8) % 8) AS s FROM t) SELECT pair_no, {HEX_SQL} AS head, n_bits FROM p""",
+    "window_infos": f"""WITH g AS ({FRAME_ORACLE["window_groups"]}),
+        f AS (SELECT g.frame_no, list_reduce([repeat('1', x::INT - 1) for x in string_split(groups, ',')], lambda a, b: a || '0' || b) AS bits FROM g),
+        t AS (SELECT frame_no, '0' || lpad(bin(frame_no % 4), 2, '0') || '0' || CASE WHEN frame_no % 4 = 2 THEN lpad(bin(frame_no % 13), 4, '0') || bits ELSE lpad(bin(frame_no % 13), 6, '0') || '0' END AS s FROM f),
+        p AS (SELECT frame_no, length(s)::INT AS n_bits, s || repeat('0', (8 - length(s) % 8) % 8) AS s FROM t) SELECT frame_no, {HEX_SQL} AS info, n_bits FROM p""",
     "intensity_spectra": f"""WITH {PAIR_SQL}, x AS (SELECT pair_no, i, l, r, sfb, CASE WHEN elr >= 0 THEN 1 ELSE -1 END AS sign, el + er AS whole, el + er + 2 * abs(elr) AS own FROM lr JOIN layout ON i >= lo AND i < hi JOIN pb USING (pair_no, sfb))
         SELECT pair_no, round(sum((i + 1) * CASE WHEN sfb < 4 THEN l WHEN own > 0 THEN (l + sign * r) * sqrt(whole / own) ELSE 0 END), 4) AS left, round(sum((i + 1) * CASE WHEN sfb < 4 THEN r ELSE 0 END), 4) AS right FROM x GROUP BY 1""",
     "leading_zeros": "SELECT event_id, CASE WHEN x = 0 THEN 32 ELSE 32 - length(ltrim(bin(x), '0')) END AS zeros FROM (SELECT event_id, floor(value * 1000)::BIGINT * (event_id % 7) AS x FROM events)",

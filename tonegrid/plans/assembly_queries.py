@@ -86,9 +86,9 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def quick_logarithms(spark: SparkSession, sf: str) -> DataFrame:
     """The two-term logarithm of event values: exponent, then a parabola of the rest."""
-    e = F.floor(F.log2("value"))
+    e = F.floor(F.log2(F.when(F.col("value") > 0, F.col("value"))))  # others have none
     m = F.col("value") / F.pow(F.lit(2.0), e) - 1
-    return table(spark, sf, "events").where("value > 0").select("event_id", F.round(e + m * (1.3424 - 0.3427 * m), 8).alias("log2"))
+    return table(spark, sf, "events").select("event_id", F.round(e + m * (1.3424 - 0.3427 * m), 8).alias("log2"))
 
 
 QUERIES = {f.__name__: f for f in (intensity_downmix, paired_bands, frame_assembly, side_payload_bits, analysis_admission, progress, quick_logarithms)}
@@ -111,6 +111,6 @@ ORACLE = {
         SELECT k.stream_id, k.frame_no, block_type <> 2 AND NOT coalesce(strength > 0 AND strength < 0.5, false) AND k.stream_id % 6 <> 5 AS tried FROM k JOIN s ON s.stream_id = k.stream_id AND s.frame_no = k.frame_no""",
     "progress": """WITH p AS (SELECT o_orderkey, o_orderkey * 1000 AS done, o_custkey * 20000 AS total, floor(o_totalprice)::BIGINT % 97 AS t FROM orders)
         SELECT o_orderkey, CASE WHEN t > 0 THEN done::DOUBLE / 8000 / t ELSE 0 END AS speed, CASE WHEN done > 0 AND t > 0 AND total >= done THEN (t * (total - done))::DOUBLE / done ELSE 0 END AS seconds_left FROM p""",
-    "quick_logarithms": """WITH e AS (SELECT event_id, value, floor(log2(value)) AS e FROM events WHERE value > 0), m AS (SELECT event_id, e, value / pow(2, e) - 1 AS m FROM e)
+    "quick_logarithms": """WITH e AS (SELECT event_id, value, floor(log2(CASE WHEN value > 0 THEN value END)) AS e FROM events), m AS (SELECT event_id, e, value / pow(2, e) - 1 AS m FROM e)
         SELECT event_id, round(e + m * (1.3424::DOUBLE - 0.3427::DOUBLE * m), 8) AS log2 FROM m""",
 }

@@ -58,7 +58,7 @@ def output_names(spark: SparkSession, sf: str) -> DataFrame:
 def rate_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Rates and qualities read from the digits of part names and brands."""
     p = table(spark, sf, "part")
-    text = F.concat(F.substring(F.col("p_partkey").cast("string"), 1, 3), F.when(F.col("p_partkey") % 3 == 0, "k").when(F.col("p_partkey") % 3 == 1, "").otherwise(".5"))
+    text = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "k").when(F.col("p_partkey") % 3 == 1, "").otherwise(".5"))
     text = F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).otherwise(text)
     rate, quality = X.rate_or_quality(text, F.col("p_size") % 2 == 0)
     return p.select("p_partkey", rate.cast("long").alias("bit_rate"), quality.cast("long").alias("quality"))
@@ -67,7 +67,8 @@ def rate_texts(spark: SparkSession, sf: str) -> DataFrame:
 def escape_codes(spark: SparkSession, sf: str) -> DataFrame:
     x = F.floor(F.col("value") * 16).cast("long")
     code, length = X.escape_code(x)
-    return table(spark, sf, "events").where("value >= 1").select("event_id", code.alias("code"), length.cast("long").alias("length"))
+    escapes = lambda c: F.when(x >= 16, c)
+    return table(spark, sf, "events").select("event_id", escapes(code).alias("code"), F.coalesce(escapes(length), F.lit(0)).cast("long").alias("length"))
 
 
 def section_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,11 +285,11 @@ ORACLE = {
         m AS (SELECT *, NOT (name = '-' OR ends_with(lower(name), '.aac') OR ends_with(lower(name), '.adts')) AS is_mp4, string_split(name, '/')[-1] AS last FROM p)
         SELECT page_id, is_mp4, CASE WHEN contains(last, '.') THEN substr(name, 1, length(name) - length(string_split(last, '.')[-1]) - 1) ELSE name END || CASE WHEN is_mp4 THEN '.m4a' ELSE '.aac' END AS output,
             CASE WHEN regexp_full_match(l, '[a-z]{3}') THEN (ascii(l) - 96) * 1024 + (ascii(substr(l, 2)) - 96) * 32 + ascii(substr(l, 3)) - 96 ELSE 21956 END AS language, starts_with(html, 'GIF87a') OR starts_with(html, 'GIF89a') AS is_image FROM m""",
-    "rate_texts": """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE substr(p_partkey::VARCHAR, 1, 3) || ['k', '', '.5'][p_partkey % 3 + 1] END AS t FROM part),
+    "rate_texts": """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE p_partkey::VARCHAR || ['k', '', '.5'][p_partkey % 3 + 1] END AS t FROM part),
         v AS (SELECT *, coalesce(try_cast(regexp_extract(t, '^[0-9]+') AS BIGINT), 0) AS v FROM p)
         SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CASE WHEN v > 0 THEN v * 1000 ELSE 128000 END ELSE 0 END AS bit_rate, CASE WHEN p_size % 2 = 0 THEN 0 WHEN v > 0 THEN least(v, 65535) ELSE 100 END AS quality FROM v""",
-    "escape_codes": """WITH e AS (SELECT event_id, floor(value * 16)::BIGINT AS x FROM events WHERE value >= 1), b AS (SELECT *, length(ltrim(bin(x), '0')) - 1 AS high FROM e)
-        SELECT event_id, (((1::BIGINT << (high - 3)) - 2) << high) + x - (1::BIGINT << high) AS code, 2 * high - 3 AS length FROM b""",
+    "escape_codes": """WITH e AS (SELECT event_id, floor(value * 16)::BIGINT AS x FROM events), b AS (SELECT *, length(ltrim(bin(x), '0')) - 1 AS high FROM e)
+        SELECT event_id, CASE WHEN x >= 16 THEN (((1::BIGINT << (high - 3)) - 2) << high) + x - (1::BIGINT << high) END AS code, CASE WHEN x >= 16 THEN 2 * high - 3 ELSE 0 END AS length FROM b""",
     "section_sizes": f"""WITH RECURSIVE {BAND_ORACLE["quantized_bands"].split("WITH RECURSIVE ", 1)[1].rsplit("SELECT *, CASE WHEN most", 1)[0].rstrip().rstrip(",")},
         books AS (SELECT f.frame_no, l.sfb, coalesce(CASE WHEN most = 0 THEN 0 WHEN most <= 1 THEN 1 WHEN most <= 2 THEN 3 WHEN most <= 4 THEN 5 WHEN most <= 7 THEN 7 WHEN most <= 12 THEN 9 ELSE 11 END, 0) AS book FROM (SELECT DISTINCT frame_no FROM spec) f CROSS JOIN layout l LEFT JOIN m ON m.frame_no = f.frame_no AND m.sfb = l.sfb),
         islands AS (SELECT frame_no, book, sfb - row_number() OVER (PARTITION BY frame_no, book ORDER BY sfb) AS island FROM books), runs AS (SELECT frame_no, count(*) AS n FROM islands GROUP BY frame_no, book, island)

@@ -125,7 +125,7 @@ def tag_texts(spark: SparkSession, sf: str) -> DataFrame:
     content = F.encode("text", "UTF-8")
     shown = F.when(F.col("doc_id") % 2 == 1, F.substring(content, ascii_first + 2, F.octet_length("text"))).otherwise(content)
     valid, text = X.utf8_text(shown)
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", valid.alias("valid"), F.length(text).cast("long").alias("n_chars"), F.ascii(text).cast("long").alias("first_char"))
+    return table(spark, sf, "documents").select("doc_id", valid.alias("valid"), F.length(text).cast("long").alias("n_chars"), F.ascii(text).cast("long").alias("first_char"))
 
 
 def spanned_decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +201,7 @@ ORACLE = {
     "rate_layouts": f"""WITH layout(r, sfb, lo, hi) AS (VALUES {", ".join(map(str, C.band_layouts()))}), n AS (SELECT r, count(*) AS n_bands, max(lo) AS last_start FROM layout GROUP BY r),
         q(r, low, high) AS (VALUES {", ".join(str((i, *r)) for i, r in enumerate(PREDICTED_BANDS))})
         SELECT stream_id, n_bands, last_start, least(low, n_bands) AS first_band, least(high, n_bands) AS past_band FROM ({PARAMS_SQL}) p JOIN n ON n.r = p.stream_id % 12 JOIN q ON q.r = n.r""",
-    "tag_texts": r"""WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '^[\x00-\x7F]*', 0)) AS p, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+    "tag_texts": r"""WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '^[\x00-\x7F]*', 0)) AS p, hex(encode(text)) AS h FROM documents),
         c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN substr(h, 2 * p + 3) ELSE h END AS h, CASE WHEN doc_id % 2 = 1 THEN substr(text, p + 2) ELSE text END AS rest FROM t),
         v AS (SELECT *, regexp_full_match(h, '([0-7][0-9A-F]|[CD][0-9A-F][89AB][0-9A-F]|E[0-9A-F]([89AB][0-9A-F]){2}|F[0-7]([89AB][0-9A-F]){3})*') AS valid FROM c)
         SELECT doc_id, valid, CASE WHEN valid THEN length(rest) ELSE length(h) // 2 END AS n_chars, CASE WHEN h = '' THEN 0 WHEN valid THEN unicode(rest) ELSE ('0x' || substr(h, 1, 2))::BIGINT END AS first_char FROM v""",

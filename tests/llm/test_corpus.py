@@ -225,7 +225,7 @@ def test_oracles_on_the_smallest_tables(spark):
     from tonegrid.llm.queries import QUERIES
 
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SF)

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG, LONG_SHORT, SHORT, SHORT_LONG = 0, 1, 2, 3
+#: Values that go through a product at once. A product's temporary arrays are many times its input, so a worker's memory
+#: follows this and not the rows of a batch.
+PIECE = 1 << 15
 
 
 @lru_cache
@@ -82,11 +85,13 @@ def transformed(frames: DataFrame, column: str, keep: list[str], out: str, work:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column(len(keep))
-            made = work(values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            ends = pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [lists], names=[*keep, out])
+            each = max(1, PIECE * batch.num_rows // max(1, len(batch.column(len(keep)).flatten())))
+            for at in range(0, batch.num_rows, each):
+                piece = batch.slice(at, each)
+                made = work(piece.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1))
+                ends = pa.array(np.arange(len(made) + 1) * made.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(keep))] + [lists], names=[*keep, out])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keep).schema) + f", {out} array<double>"
     return frames.select(*keep, F.col(column).cast("array<double>")).mapInArrow(run, schema)
